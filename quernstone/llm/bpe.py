@@ -37,15 +37,23 @@ END = 256
 _AS_SYMBOLS = {b: chr(b) for b in range(256)}
 
 
-def pieces(text: str) -> list[str]:
-    """The pre-tokenizer's pieces of a normalised text.
+@lru_cache(maxsize=2)
+def _tables(path: str):
+    """The library's own normaliser and splitter, for code points younger than Python's tables."""
+    from tokenizers import Tokenizer
 
-    Code points that Unicode assigned after the tokenizer's tables were made are symbols to it, not letters.
-    """
-    if text.isascii() or not any(unicodedata.category(c) == "Cn" for c in text):
-        return PIECE.findall(text)
-    masked = "".join("\uffff" if unicodedata.category(c) == "Cn" else c for c in text)
-    return [text[m.start() : m.end()] for m in PIECE.finditer(masked)]
+    return Tokenizer.from_file(path)
+
+
+def pieces(chunk: str, path: str) -> list[str]:
+    """Normalised pieces of a run of text, as the pre-tokenizer cuts it."""
+    if chunk.isascii():
+        return PIECE.findall(chunk.lower())
+    if any(unicodedata.category(c) == "Cn" for c in chunk):
+        library = _tables(path)
+        normal = library.normalizer.normalize_str(chunk)
+        return [normal[start:end] for _, (start, end) in library.pre_tokenizer.pre_tokenize_str(normal)]
+    return PIECE.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
 
 
 class WordBpe:
@@ -57,6 +65,7 @@ class WordBpe:
     def __init__(self, path: str, cache_words: int = 400_000) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        self._path = path
         model = spec["model"]
         vocabulary: dict[str, int] = model["vocab"]
         suffix = model["end_of_word_suffix"]
@@ -184,7 +193,7 @@ class WordBpe:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a run of text between spaces; no piece crosses a space."""
-        ids = b"".join(map(self._word, pieces(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())))
+        ids = b"".join(map(self._word, pieces(chunk, self._path)))
         if len(chunk) <= 64:
             if len(self._chunks) >= self._cache_words:
                 self._chunks.clear()
