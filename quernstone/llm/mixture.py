@@ -4,9 +4,10 @@ Each source has a target number of words. Among all ways to give documents rates
 targets, the one nearest to rate 1 in relative entropy is an exponential tilt, min(cap, exp(lambda * size / mean size)),
 with one dual variable per source. The dual is convex; safeguarded Newton steps solve it for all sources at once, each step
 one grouped aggregation over the counts of documents by source and size, which carry all that the dual depends on.
-Rates become whole copies without chance: cumulative rounding over a source's sizes gives each size a number of copies,
-and a hash order of the documents, counted in salted buckets, says which documents take one copy more. So a source's taken
-words miss its target by less than one document, and reruns agree.
+Rates become whole copies without chance: a source's sizes, from the largest down, get a number of copies each, and what
+one size misses in words is handed to the next; a hash order of the documents, counted in salted buckets, says which
+documents of a size take one copy more. So a source's taken words miss its target by about its smallest document, and
+reruns agree.
 
 Defined results: a null source is a source of its own and sorts last; a document without words has size 0 and takes
 nothing; repeated rows are documents of their own; an empty table gives an empty result; further columns are kept. Names
@@ -15,6 +16,9 @@ of the added columns replace columns of the same name.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,18 +122,23 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     goals = cut(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size")), weights, cap))
     solved = tilts(counts, goals, cap, tolerance, steps)
 
-    run = F.sum(F.col("docs") * F.col("rate")).over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
-    shares = (
-        counts.withColumnRenamed("source", "_s")
-        .join(solved, F.col("_s").eqNullSafe(F.col("source")))
-        .drop("_s")
-        .withColumn("rate", _rate(cap))
-        .withColumn("_run", F.floor(run + 0.5))
-        .withColumn("_copies", F.col("_run") - F.coalesce(F.lag("_run").over(Window.partitionBy("source").orderBy("size")), F.lit(0)))
-        .withColumn("_each", F.floor(F.col("_copies") / F.col("docs")))
-        .withColumn("_over", F.col("_copies") - F.col("_each") * F.col("docs"))
-        .select(F.col("source").alias("_s"), F.col("size").alias("_z"), "source_size", "target", "rate", "_each", "_over")
-    )
+    rated = counts.withColumnRenamed("source", "_s").join(solved, F.col("_s").eqNullSafe(F.col("source"))).select("source", "size", "docs", "source_size", "target", _rate(cap).alias("rate"))
+    kind = docs.schema[source_column].dataType.simpleString()
+
+    def deal(group: pd.DataFrame) -> pd.DataFrame:
+        """Whole copies for each size of a source, the largest first; each hands what it missed on to the next."""
+        group = group.sort_values("size", ascending=False)
+        owed, copies = 0.0, []
+        for words, n, rate in zip(group["size"].tolist(), group["docs"].tolist(), group["rate"].tolist(), strict=True):
+            fair = n * rate
+            copies.append(min(max(math.floor(fair + owed / max(words, 1) + 0.5), 0), cap * n))
+            owed += (fair - copies[-1]) * words
+        each = [c // n for c, n in zip(copies, group["docs"].tolist(), strict=True)]
+        over = [c % n for c, n in zip(copies, group["docs"].tolist(), strict=True)]
+        return group.rename(columns={"source": "_s", "size": "_z"}).drop(columns="docs").assign(_each=each, _over=over)
+
+    # a group has one row for each distinct size of its source
+    shares = rated.groupBy("source").applyInPandas(deal, f"_s {kind}, _z long, source_size long, target double, rate double, _each long, _over long")
     before = F.coalesce(F.sum("docs").over(Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     dealt = (
         salted.withColumn("_before", before)
