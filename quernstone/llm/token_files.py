@@ -13,9 +13,11 @@ order; a null id sorts first; an empty table gives empty files; further columns
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,36 +26,62 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: The pre-tokenizer's pieces in lowered Latin-1 text, where no normal form and no rule of case matters.
+LATIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t-\r\x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+
+
 class LibraryEncoder:
-    """The tokenizers library over runs of text between spaces, each distinct run encoded once while the cache holds it.
+    """The tokenizers library over the pieces of texts, each distinct piece encoded once while the cache holds it.
 
-    The vocabulary's pre-tokenizer drops white space and no piece crosses it, so the ids of a text are those of its runs
-    in order. ``cache_runs`` bounds the cache.
+    The pre-tokenizer cuts a text into pieces and drops white space, so a text's ids are its pieces' ids in order. New
+    pieces go to the library as one text; each piece's last token carries the vocabulary's word end, by which the ids are
+    taken apart again. Texts beyond Latin-1, and those that may hold special tokens, go to the library whole.
+    ``cache_pieces`` bounds the cache.
     """
 
-    def __init__(self, path: str, cache_runs: int = 600_000) -> None:
+    def __init__(self, path: str, cache_pieces: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._cache_runs = cache_runs
-        self._cache: dict[str, bytes] = {"": b""}
-
-    def _fill(self, runs: list[str]) -> dict[str, bytes]:
-        encoded = self._tokenizer.encode_batch_fast(runs, add_special_tokens=False)
-        return {run: np.array(e.ids, "<u4").tobytes() for run, e in zip(runs, encoded, strict=True)}
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._cache_pieces = cache_pieces
+        self._pieces: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Bring ``pieces`` into the cache; a full cache keeps these alone."""
+        fresh = [p for p in pieces if p not in self._pieces]
+        if len(self._pieces) + len(fresh) > self._cache_pieces:
+            self._pieces = {p: self._pieces[p] for p in pieces if p in self._pieces}
+        if fresh:
+            ids = self._library([" ".join(fresh)])[0]
+            raw = ids.tobytes()
+            ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            self._pieces.update(zip(fresh, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [text.replace("\n", " ").split(" ") if text else [] for text in texts]
-        found = [list(map(self._cache.get, runs)) for runs in split]
-        missing = {run for runs, ids in zip(split, found, strict=True) if None in ids for run, i in zip(runs, ids, strict=True) if i is None}
-        fresh = self._fill(sorted(missing)) if missing else {}
-        out = [b"".join(ids if None not in ids else [fresh[run] if i is None else i for run, i in zip(runs, ids, strict=True)]) for runs, ids in zip(split, found, strict=True)]
-        if len(self._cache) + len(fresh) > self._cache_runs:
-            self._cache = {"": b""}
-        self._cache.update((run, ids) for run, ids in fresh.items() if len(run) <= 64)
-        return out
+        cut = [LATIN_PIECE.findall(text.lower()) if text and _plain(text) else None for text in texts]
+        self._learn(set(chain.from_iterable(filter(None, cut))))
+        whole = [i for i, text in enumerate(texts) if text and cut[i] is None]
+        others = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True)) if whole else {}
+        known = self._pieces.__getitem__
+        return [others[i].tobytes() if i in others else b"".join(map(known, pieces)) if pieces else b"" for i, pieces in enumerate(cut)]
+
+
+def _plain(text: str) -> bool:
+    if "<|" in text:
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=2)
