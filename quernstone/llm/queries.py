@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, jaccard_join, mixture, quality_classifier, quality_rules, token_files, topk, toxicity
+from quernstone.llm import bpe, jaccard_join, license_scan, mixture, quality_classifier, quality_rules, token_files, topk, toxicity
 from quernstone.session import shared_path, table, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -42,6 +42,10 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,11 +55,11 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_quality_classifier, op4_token_binary, op5_mixture, op6_exact_topk, op8_toxicity, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_quality_classifier, op4_token_binary, op5_mixture, op6_exact_topk, op7_license_scan, op8_toxicity, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE, "op6_exact_topk": TOPK}
+    return {"op2_quality_rules": quality_rules.ORACLE, "op6_exact_topk": TOPK, "op7_license_scan": license_scan.ORACLE}
 
 
 #: DuckDB, over embeddings.

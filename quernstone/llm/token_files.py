@@ -39,7 +39,7 @@ class LibraryEncoder:
     ``cache_pieces`` bounds the cache.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 800_000) -> None:
+    def __init__(self, path: str, cache_pieces: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -102,14 +102,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         part = TaskContext.get().partitionId()
         start = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                texts = batch.column(1).slice(at, 128).to_pylist()
+            for at in range(0, batch.num_rows, 256):
+                texts = batch.column(1).slice(at, 256).to_pylist()
                 rows = [ids + end for ids in encoder.encode(texts)]
                 sizes = np.fromiter((len(ids) // 4 for ids in rows), np.int64, len(rows))
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 128), pa.array(np.full(len(rows), part, np.int32)), pa.array(start + offsets[:-1]), pa.array(sizes), tokens],
+                    [batch.column(0).slice(at, 256), pa.array(np.full(len(rows), part, np.int32)), pa.array(start + offsets[:-1]), pa.array(sizes), tokens],
                     [id_column, "part", "start_in_part", "n_tokens", "tokens"],
                 )
                 start += int(offsets[-1])
@@ -132,10 +132,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The files' rows with each document's ``start`` over all files; only selected columns are read."""
     rows = spark.read.parquet(path)
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
-    # one row per file
+    # one row per file, no more than the partitions that write_token_files sorted into
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("start_in_part")).drop("base", "start_in_part", "part")
+    return rows.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("start_in_part")).drop("base", "start_in_part", "part")
 
 
 def checksums(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
