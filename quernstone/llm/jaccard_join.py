@@ -2,21 +2,22 @@
 
 Jaccard distance is a metric; documents link when it is at most r = 1 - threshold. The join never compares all pairs:
 
-1. Regions. A set's shingle hashes are cut into k classes by value, k fixed by the size level. Two linked sets differ in
-   at most D = (|x| + |y|) / 9 shingles (for 0.8), so among the first D + 1 classes that hold something at least one is the
-   same in both. Each such class, with its content, is a region; a document lies in D + 1 of them per level, and in
-   those of the level above if a partner can be there. Linked documents always share a region. Regions of one document
-   vanish; regions with the same members are one.
-2. Pivots and Voronoi cells. The first document of a region is its pivot. Each document goes to the cell of the pivot with which it
-   shares most regions and is measured against it exactly; within r it is linked, and all of a ball around a pivot is
-   connected through it, without pairs inside.
-3. Windows. A document stays, replicated, in those regions where some other member is not yet connected with it. Pairs
-   there are bounded by the triangle inequality before they are measured: a set's counts in 64 slices of the hash range are
-   its distances from the empty set within the slices, and the sum of their differences is at most the pair's symmetric
-   difference, which a link bounds by D.
-4. Recursion. Small regions compare their members of different components. A larger region elects new pivots among those
-   outside its largest component, measures all others against them, drops them, and goes on with the rest, until all of a
-   region is connected or has been a pivot. The number of pivots grows eightfold from round to round.
+1. Regions. A set's shingle hashes are cut into classes by value, their number fixed by the size level. Two linked sets
+   differ in at most D = (|x| + |y|) / 9 shingles (for 0.8), so of the first D + D / 4 + 1 classes that hold something at
+   least D / 4 + 1 are the same in both. Each such class, with its content, is a region; a document lies in its regions
+   of its level, and of the level above if a partner can be there. Regions of one document vanish; regions with the same
+   members are one, with a weight.
+2. Windows. Only documents that share enough regions and whose sizes allow it meet, so a document is replicated to the
+   cells of those it may be close to. Before a pair is measured, the triangle inequality bounds it: a set's counts in
+   slices of the hash range are its distances from the empty set within the slices, and the sum of their differences is at
+   most the pair's symmetric difference, which a link bounds by D.
+3. Pivots and Voronoi cells. Each document belongs to the cell of the earlier document with which it shares most regions,
+   the pivot, and is measured against it exactly; within r it is linked, and all of a ball around a pivot is connected
+   through it, without pairs inside. Then pairs in different components are measured.
+4. Recursion. Regions beyond ``SMALL_REGION`` members count only for pairs that may share enough large regions alone. Each
+   elects pivots among its members outside its largest component, measures the others against them, drops the pivots and
+   goes on with the rest, until all of a region is connected or has been a pivot. The number of pivots grows eightfold
+   from round to round.
 
 Identical sets are one point from the start. A shingle is the 64-bit hash of its words.
 
@@ -39,11 +40,12 @@ from quernstone.llm.components import components
 from quernstone.session import cut, written
 
 SHINGLE = 5
-SLICES = 64
+SLICES = 256
 #: Regions up to this size compare their unconnected members in one round.
 SMALL_REGION = 128
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
+_EDGES = np.arange(SLICES, dtype=np.uint64) << np.uint64(56)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,6 +74,16 @@ def _differ(n: int, most: int, percent: int) -> int:
     return min(n * (100 - percent) // percent, (n + most) * (100 - percent) // (100 + percent))
 
 
+def _most(n: int) -> int:
+    """The largest size of the level that a set of ``n`` is in."""
+    return 2 ** n.bit_length() - 1
+
+
+def shared_at_least(n: int, percent: int) -> int:
+    """How many regions a set of ``n`` and a linked set share, if that one's own number is no smaller."""
+    return 1 + _differ(n, _most(n), percent) // 4
+
+
 def regions(found: np.ndarray, percent: int) -> np.ndarray:
     """Region keys of a set, given its sorted shingle hashes."""
     n = len(found)
@@ -85,7 +97,8 @@ def regions(found: np.ndarray, percent: int) -> np.ndarray:
             break
         most = 2 ** (at + 1) - 1
         differ = _differ(n, most, percent)
-        classes = 2 * most * (100 - percent) // (100 + percent) + 3
+        differ += differ // 4
+        classes = 2 * most * (100 - percent) // (100 + percent) * 5 // 4 + 3
         edges = (np.arange(classes, dtype=np.float64) * (2.0**64 / classes)).astype(np.uint64)
         starts = np.searchsorted(found, edges)
         sizes = np.diff(starts, append=n)
@@ -99,8 +112,13 @@ def regions(found: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _slices(found: np.ndarray) -> bytes:
+    """Counts of a set in equal slices of the hash range, held to a byte."""
+    return np.minimum(np.diff(np.searchsorted(found, _EDGES), append=len(found)), 255).astype(np.uint8).tobytes()
+
+
 def _region_rows(docs: DataFrame, percent: int, seen_most: int = 200_000) -> DataFrame:
-    """Rows (region, doc) and, with ``n`` set, one row (doc, mark, n) per document, from one pass over the texts.
+    """Rows (region, doc) and, with ``n`` set, one row (doc, mark, n, least, lowest, slices) per document, from one pass.
 
     A task gives the regions of a set that it meets again only once, so that copies are folded before the shuffle.
     """
@@ -110,12 +128,13 @@ def _region_rows(docs: DataFrame, percent: int, seen_most: int = 200_000) -> Dat
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 ids = batch.column(0).slice(at, 512).to_pylist()
-                keys, owners, marks, sizes = [], [], [], []
+                keys, owners, marks, sizes, counts = [], [], [], [], []
                 for doc, text in zip(ids, batch.column(1).slice(at, 512).to_pylist(), strict=True):
                     found = shingles(text)
                     mark = int(np.add.reduce(_mix(found ^ _C))) if len(found) else 0
                     marks.append(mark)
                     sizes.append(len(found))
+                    counts.append(_slices(found))
                     if mark not in seen:
                         if len(seen) >= seen_most:
                             seen.clear()
@@ -125,48 +144,53 @@ def _region_rows(docs: DataFrame, percent: int, seen_most: int = 200_000) -> Dat
                 own = np.array(ids, np.int64)
                 spread = _mix(own.view(np.uint64) ^ _EMPTY)
                 key = np.concatenate([*keys, spread]).view(np.int64)
-                doc = np.concatenate([*owners, own])
                 count = len(key) - len(own)
-                mark = pa.concat_arrays([pa.nulls(count, pa.int64()), pa.array(np.array(marks, np.uint64).view(np.int64))])
-                n = pa.concat_arrays([pa.nulls(count, pa.int64()), pa.array(sizes, pa.int64())])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), mark, n], ["region", "doc", "mark", "n"])
 
-    return docs.mapInArrow(run, "region long, doc long, mark long, n long")
+                def padded(values: list, kind: pa.DataType, count: int = count) -> pa.Array:
+                    return pa.concat_arrays([pa.nulls(count, kind), pa.array(values, kind)])
+
+                columns = [
+                    pa.array(key),
+                    pa.array(np.concatenate([*owners, own])),
+                    padded(np.array(marks, np.uint64).view(np.int64), pa.int64()),
+                    padded(sizes, pa.int64()),
+                    padded([shared_at_least(n, percent) for n in sizes], pa.int64()),
+                    padded([shared_at_least(-(-n * percent // 100), percent) for n in sizes], pa.int64()),
+                    padded(counts, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["region", "doc", "mark", "n", "least", "lowest", "slices"])
+
+    return docs.mapInArrow(run, "region long, doc long, mark long, n long, least long, lowest long, slices binary")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc, n, slices, shingles) with the counts and the sorted hashes as binaries."""
-    edges = np.arange(SLICES, dtype=np.uint64) << np.uint64(58)
+    """(doc, n, shingles) with the sorted hashes as a binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 found = [shingles(t) for t in batch.column(1).slice(at, 512).to_pylist()]
-                counts = [np.diff(np.searchsorted(s, edges), append=len(s)).astype("<i4").tobytes() for s in found]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 512), pa.array([len(s) for s in found], pa.int64()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
-                    ["doc", "n", "slices", "shingles"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc", "n", "shingles"])
 
-    return docs.mapInArrow(run, "doc long, n long, slices binary, shingles binary")
+    return docs.mapInArrow(run, "doc long, n long, shingles binary")
 
 
-def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that sizes and slices allow to be links."""
+def _near(pairs: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their slices allow to be links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<i4").reshape(-1, SLICES) for i in (2, 3))
-            apart = np.abs(x - y).sum(axis=1)
-            keep = pa.array(apart * (100 + percent) <= (x.sum(axis=1) + y.sum(axis=1)) * (100 - percent))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SLICES).astype(np.int16) for i in (2, 3))
+            sizes = batch.column(4).to_numpy()
+            keep = pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= sizes * (100 - percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    brief = [sets.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("slices").alias(f"s_{c}")) for c in "ab"]
+    brief = [briefs.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("slices").alias(f"s_{c}")) for c in "ab"]
     sized = pairs.join(brief[0], "a").join(brief[1], "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    return sized.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "s_a", "s_b", (F.col("n_a") + F.col("n_b")).alias("sizes")).mapInArrow(run, "a long, b long")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, briefs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that are links, each measured exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,11 +208,12 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     whole = [sets.select(F.col("doc").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab"]
-    return _near(pairs, sets, percent).join(whole[0], "a").join(whole[1], "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return _near(pairs, briefs, percent).join(whole[0], "a").join(whole[1], "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _parts(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """``docs`` with the component of ``column`` so far, as ``part``."""
+    return docs.join(labels.withColumnRenamed("node", column), column, "left").withColumn(f"part_{column}", F.coalesce("component", column)).drop("component")
 
 
 def join_components(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -198,42 +223,65 @@ def join_components(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     rows = _region_rows(named, percent)
     rows = written(rows.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("region"))).where("shared > 1 OR n IS NOT NULL").drop("shared"), "regions")
 
-    owners = rows.where("n IS NOT NULL").select("doc", "mark", "n")
+    owners = rows.where("n IS NOT NULL")
     points = owners.where("n > 0").groupBy("mark", "n").agg(F.min("doc").alias("point"))
-    placed = written(owners.where("n > 0").join(points, ["mark", "n"]).select("doc", "n", "point"), "points")
+    placed = written(owners.where("n > 0").select("doc", "mark", "n").join(points, ["mark", "n"]).select("doc", "n", "point"), "points")
     members = rows.where("n IS NULL").join(placed.select("doc", "point").distinct(), "doc").select("region", F.col("point").alias("doc")).distinct()
     sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("pivot"), F.bit_xor(F.xxhash64("doc")).alias("who")).where("size > 1")
-    alike = members.join(sizes, "region").select(F.xxhash64("who", "size", "pivot").alias("region"), "doc", "pivot")
-    active = written(alike.groupBy("region", "doc", "pivot").agg(F.count(F.lit(1)).alias("weight")), "members")
-
-    wanted = active.select("doc").distinct()
+    alike = members.join(sizes, "region").select(F.xxhash64("who", "size", "pivot").alias("region"), "doc", "size")
+    sized = owners.select("doc", "n", "least", "lowest").dropDuplicates(["doc"])
+    active = written(alike.groupBy("region", "doc", "size").agg(F.count(F.lit(1)).alias("weight")).join(sized, "doc"), "members")
+    briefs = owners.select("doc", "n", "slices").dropDuplicates(["doc"])
+
+    # pairs of small regions share enough of them, counting all large regions that both might share
+    small, large = active.where(F.col("size") <= SMALL_REGION), active.where(F.col("size") > SMALL_REGION)
+    slack = written(large.groupBy("doc").agg(F.sum("weight").alias("slack")), "slack")
+    sides = [small.select("region", "weight", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "n", "least")]) for x in "ab"]
+    met = (
+        sides[0]
+        .join(sides[1].drop("weight"), "region")
+        .where((F.col("doc_a") < F.col("doc_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
+        .groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), F.least("least_a", "least_b").alias("least"))
+        .agg(F.sum("weight").alias("weight"))
+    )
+    spare = [slack.select(F.col("doc").alias(c), F.col("slack").alias(f"slack_{c}")) for c in "ab"]
+    enough = F.col("weight") + F.coalesce(F.least("slack_a", "slack_b"), F.lit(0)) >= F.col("least")
+    both = F.when(F.col("slack_a").isNull() | F.col("slack_b").isNull(), F.col("weight") >= F.col("least")).otherwise(enough)
+    pairs = written(met.join(spare[0], "a", "left").join(spare[1], "b", "left").where(both).select("a", "b", "weight"), "pairs")
+
+    # only where large regions alone may be enough must pairs be sought in them
+    large = written(large.join(slack, "doc").where("slack >= lowest").select("region", "doc", "n", "least", "slack"), "large")
+    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).union(large.select("doc")).distinct()
     sets = written(_sets(named.join(wanted, "doc").select("doc", "text")), "sets")
 
-    homes = active.where("doc <> pivot").groupBy("doc", "pivot").agg(F.sum("weight").alias("weight"))
-    cells = homes.groupBy("doc").agg(F.max_by("pivot", F.struct("weight", -F.col("pivot"))).alias("pivot"))
-    links = cut(_links(cells.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), sets, percent))
+    cells = pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("a")).select("a", "b")
+    links = cut(_links(cells, briefs, sets, percent))
     labels = cut(components(links))
-    active = active.select("region", "doc")
-    tested = None
+    apart = _parts(_parts(pairs.join(cells, ["a", "b"], "left_anti"), labels, "a"), labels, "b").where("part_a <> part_b").select("a", "b")
+    links = cut(links.union(_links(apart, briefs, sets, percent)))
+
+    tested = pairs.select("a", "b")
+    active = large
     width = 32
     while True:
-        labelled = active.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("region", "doc", F.coalesce("component", "doc").alias("part"))
+        labels = cut(components(links))
+        labelled = _parts(active, labels, "doc").withColumnRenamed("part_doc", "part")
         by_part = labelled.groupBy("region", "part").agg(F.count(F.lit(1)).alias("n"))
         shape = by_part.groupBy("region").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("n", "part")).alias("main")).where("parts > 1")
         open_ = written(labelled.join(shape, "region"), "open")
         if not open_.take(1):
             break
-        outside = F.col("part") != F.col("main")
-        elected = outside & ((F.col("size") <= SMALL_REGION) | (F.pmod(F.xxhash64("doc", "region"), F.col("size")) < width))
-        pivots = open_.where(elected).select("region", F.col("doc").alias("b"), F.col("part").alias("part_b"))
-        pairs = _ordered(open_.select("region", F.col("doc").alias("a"), F.col("part").alias("part_a")).join(pivots, "region").where("part_a <> part_b").select("a", "b"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = cut(links.union(_links(pairs, sets, percent)))
-        labels = cut(components(links))
-        active = open_.where(~elected).select("region", "doc")
+        elected = (F.col("part") != F.col("main")) & ((F.col("size") <= SMALL_REGION) | (F.pmod(F.xxhash64("doc", "region"), F.col("size")) < width))
+        pivots = open_.where(elected).select("region", *[F.col(c).alias(f"{c}_y") for c in ("doc", "n", "least", "slack", "part")])
+        faced = (
+            open_.join(pivots, "region")
+            .where((F.col("part") != F.col("part_y")) & (F.least("slack", "slack_y") >= F.least("least", "least_y")))
+            .where(F.least("n", "n_y") * 100 >= F.greatest("n", "n_y") * percent)
+        )
+        fresh = written(faced.select(F.least("doc", "doc_y").alias("a"), F.greatest("doc", "doc_y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(fresh)
+        links = cut(links.union(_links(fresh, briefs, sets, percent)))
+        active = open_.where(~elected).select("region", "doc", "n", "least", "slack")
         width *= 8
 
     named_rows = placed.join(labels.withColumnRenamed("node", "point"), "point", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "point").alias("component_id"))
