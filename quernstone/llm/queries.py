@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, jaccard_join, license_scan, mixture, quality_classifier, quality_rules, token_files, topk, toxicity
+from quernstone.llm import bpe, jaccard_join, language_id, license_scan, mixture, quality_classifier, quality_rules, token_files, topk, toxicity
 from quernstone.session import shared_path, table, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -50,12 +50,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_quality_classifier, op4_token_binary, op5_mixture, op6_exact_topk, op7_license_scan, op8_toxicity, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_quality_classifier, op4_token_binary, op5_mixture, op6_exact_topk, op7_license_scan, op8_toxicity, op9_language_id, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -39,7 +39,7 @@ class LibraryEncoder:
     ``cache_pieces`` bounds the cache.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 300_000) -> None:
+    def __init__(self, path: str, cache_pieces: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
