@@ -72,7 +72,9 @@ def scan(docs: DataFrame, notices: Sequence[tuple[str, str]] = TEMPLATES, id_col
     known = templates(spark, notices)
     every = [row["h"] for row in known.select(F.explode("shingles").alias("h")).distinct().collect()]
     hashed = docs.select(F.col(id_column).alias("doc_id"), _words(F.col(text_column)).alias("_w")).select("doc_id", _shingles("_w").alias("_h"))
-    held = hashed.where(F.arrays_overlap("_h", F.array(*map(F.lit, every)) if every else F.array().cast("array<bigint>")))
+    # as a generator the test stays above the hashes; a filter would be pushed below and hash the text anew for each
+    overlaps = F.arrays_overlap("_h", F.array(*map(F.lit, every)) if every else F.array().cast("array<bigint>"))
+    held = hashed.withColumn("_hit", F.explode(F.when(overlaps, F.array(F.lit(1))))).drop("_hit")
 
     sizes = F.broadcast(known.select("length").distinct().withColumn("_all", F.lit(1)))
     reach = F.greatest(F.col("length") - (SHINGLE - 1), F.lit(1))
