@@ -111,8 +111,8 @@ def swapped(text: str, groups: Sequence[Sequence[str]]) -> list[str]:
     return found
 
 
-def choose_terms(bags: list[list[bytes]], labels: np.ndarray, most_terms: int, least_docs: int) -> list[bytes]:
-    """The terms whose presence tells the labels apart best, by the chi-squared statistic."""
+def choose_terms(bags: list[list[bytes]], labels: np.ndarray, most_terms: int, least_docs: int, least_chi: float) -> list[bytes]:
+    """The terms whose presence tells the labels apart best, by the chi-squared statistic, from ``least_chi`` up."""
     in_all: Counter[bytes] = Counter()
     in_toxic: Counter[bytes] = Counter()
     for words, label in zip(bags, labels.tolist(), strict=True):
@@ -126,16 +126,18 @@ def choose_terms(bags: list[list[bytes]], labels: np.ndarray, most_terms: int, l
         if total >= least_docs and total < n:
             a = in_toxic[term]
             gap = a * n - total * toxic
-            ranked.append((-(gap * gap) / (total * (n - total)), term))
+            chi = gap * gap * n / (total * (n - total) * toxic * (n - toxic))
+            if chi >= least_chi:
+                ranked.append((-chi, term))
     return [term for _, term in sorted(ranked)[:most_terms]]
 
 
-def fit(texts: list[str], labels: np.ndarray, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS, most_terms: int = 1500, least_docs: int = 4, fairness: float = 1.0, ridge: float = 2e-5, steps: int = 400, rate: float = 0.05) -> ToxicityModel:
+def fit(texts: list[str], labels: np.ndarray, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS, most_terms: int = 1500, least_docs: int = 3, least_chi: float = 12.0, fairness: float = 1.0, ridge: float = 2e-5, steps: int = 400, rate: float = 0.05) -> ToxicityModel:
     """Fit by full-batch Adam on cross entropy, ridge and the counterfactual penalty."""
     if len(set(labels.tolist())) < 2:
         return ToxicityModel(float(labels.mean()) if len(labels) else 0.0)
     bags = [words_of(t) for t in texts]
-    terms = choose_terms(bags, labels, most_terms, least_docs)
+    terms = choose_terms(bags, labels, most_terms, least_docs, least_chi)
     for group in groups:
         terms += [t.encode() for t in group if t.encode() not in terms and any(t.encode() in b for b in map(set, bags))]
     model = ToxicityModel(float(labels.mean()), {t: i for i, t in enumerate(terms)})
