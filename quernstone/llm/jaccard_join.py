@@ -6,18 +6,16 @@ Jaccard distance is a metric; documents link when it is at most r = 1 - threshol
    differ in at most D = (|x| + |y|) / 9 shingles (for 0.8), so of the first D + D / 4 + 1 classes that hold something at
    least D / 4 + 1 are the same in both. Each such class, with its content, is a region; a document lies in its regions
    of its level, and of the level above if a partner can be there. Regions of one document vanish; regions with the same
-   members are one, with a weight.
-2. Windows. Only documents that share enough regions and whose sizes allow it meet, so a document is replicated to the
-   cells of those it may be close to. Before a pair is measured, the triangle inequality bounds it: a set's counts in
-   slices of the hash range are its distances from the empty set within the slices, and the sum of their differences is at
-   most the pair's symmetric difference, which a link bounds by D.
-3. Pivots and Voronoi cells. Each document belongs to the cell of the earlier document with which it shares most regions,
-   the pivot, and is measured against it exactly; within r it is linked, and all of a ball around a pivot is connected
-   through it, without pairs inside. Then pairs in different components are measured.
-4. Recursion. Regions beyond ``SMALL_REGION`` members count only for pairs that may share enough large regions alone. Each
-   elects pivots among its members outside its largest component, measures the others against them, drops the pivots and
-   goes on with the rest, until all of a region is connected or has been a pivot. The number of pivots grows eightfold
-   from round to round.
+   members are one, with a weight. As linked documents share a weight of D / 4 + 1, each may leave its largest regions
+   up to a weight of D / 4.
+2. Pivots and Voronoi cells. Each document belongs to the cell of the earlier document with which it shares most small
+   regions, its pivot; every larger region elects a pivot of its own. Members are measured against their pivots exactly;
+   within r they are linked, and all of a ball around a pivot is connected through it, without pairs inside.
+3. Recursion. Larger regions that hold more than one component elect pivots again, outside their main component.
+4. Windows. What is still unconnected meets in small regions pair by pair, and in larger ones in tiles of two blocks, to
+   which members are replicated. Before a pair is measured, the triangle inequality bounds it: a set's counts in slices
+   of the hash range are its distances from the empty set within the slices, and the sum of their differences is at most
+   the pair's symmetric difference, which a link bounds by D.
 
 Identical sets are one point from the start. A shingle is the 64-bit hash of its words.
 
@@ -33,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.components import components
@@ -41,8 +39,12 @@ from quernstone.session import cut, written
 
 SHINGLE = 5
 SLICES = 256
-#: Regions up to this size compare their unconnected members in one round.
-SMALL_REGION = 128
+#: Regions up to this size pair their members; larger ones work by pivots and tiles.
+SMALL_REGION = 16
+#: Larger regions are cut into tiles of two blocks of about so many members.
+BLOCK = 512
+#: Pivots are elected in so many rounds before tiles compare what is still unconnected.
+PIVOT_ROUNDS = 3
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 _EDGES = np.arange(SLICES, dtype=np.uint64) << np.uint64(56)
@@ -118,7 +120,7 @@ def _slices(found: np.ndarray) -> bytes:
 
 
 def _region_rows(docs: DataFrame, percent: int, seen_most: int = 200_000) -> DataFrame:
-    """Rows (region, doc) and, with ``n`` set, one row (doc, mark, n, least, lowest, slices) per document, from one pass.
+    """Rows (region, doc) and, with ``n`` set, one row (doc, mark, n, lowest, slices) per document, from one pass.
 
     A task gives the regions of a set that it meets again only once, so that copies are folded before the shuffle.
     """
@@ -154,13 +156,12 @@ def _region_rows(docs: DataFrame, percent: int, seen_most: int = 200_000) -> Dat
                     pa.array(np.concatenate([*owners, own])),
                     padded(np.array(marks, np.uint64).view(np.int64), pa.int64()),
                     padded(sizes, pa.int64()),
-                    padded([shared_at_least(n, percent) for n in sizes], pa.int64()),
                     padded([shared_at_least(-(-n * percent // 100), percent) for n in sizes], pa.int64()),
                     padded(counts, pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["region", "doc", "mark", "n", "least", "lowest", "slices"])
+                yield pa.RecordBatch.from_arrays(columns, ["region", "doc", "mark", "n", "lowest", "slices"])
 
-    return docs.mapInArrow(run, "region long, doc long, mark long, n long, least long, lowest long, slices binary")
+    return docs.mapInArrow(run, "region long, doc long, mark long, n long, lowest long, slices binary")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -190,7 +191,7 @@ def _near(pairs: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "s_a", "s_b", (F.col("n_a") + F.col("n_b")).alias("sizes")).mapInArrow(run, "a long, b long")
 
 
-def _links(pairs: DataFrame, briefs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that are links, each measured exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,12 +209,77 @@ def _links(pairs: DataFrame, briefs: DataFrame, sets: DataFrame, percent: int) -
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     whole = [sets.select(F.col("doc").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab"]
-    return _near(pairs, briefs, percent).join(whole[0], "a").join(whole[1], "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return pairs.join(whole[0], "a").join(whole[1], "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+
+
+def _links(pairs: DataFrame, briefs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return _measured(_near(pairs, briefs, percent), sets, percent)
+
+
+def _parts(docs: DataFrame, labels: DataFrame, column: str, part: str) -> DataFrame:
+    """``docs`` with the component so far of ``column``."""
+    return docs.join(labels.withColumnRenamed("node", column), column, "left").withColumn(part, F.coalesce("component", column)).drop("component")
 
 
-def _parts(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """``docs`` with the component of ``column`` so far, as ``part``."""
-    return docs.join(labels.withColumnRenamed("node", column), column, "left").withColumn(f"part_{column}", F.coalesce("component", column)).drop("component")
+def _open(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the regions that hold more than one component, with their ``part`` and the region's ``main`` one."""
+    labelled = _parts(large, labels, "doc", "part")
+    by_part = labelled.groupBy("region", "part").agg(F.count(F.lit(1)).alias("n_part"))
+    shape = by_part.groupBy("region").agg(F.sum("n_part").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("n_part", "part")).alias("main")).where("parts > 1")
+    return written(labelled.join(shape, "region"), "open")
+
+
+def _ratio(percent: int, a: str, b: str) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def _pivot_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """Each member with its region's pivot, which is elected outside the main component by a hash of the document.
+
+    One hash for all regions lets regions with common members elect the same pivot.
+    """
+    order = F.struct(F.xxhash64("doc", F.lit(1)), "doc")
+    pivots = open_.where("part <> main").groupBy("region").agg(F.min_by("doc", order).alias("b"), F.min_by("n", order).alias("n_b"), F.min_by("part", order).alias("part_b"))
+    faced = open_.join(pivots, "region").where((F.col("part") != F.col("part_b")) & _ratio(percent, "n", "n_b"))
+    return faced.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
+
+
+def _tile_pairs(open_: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in open regions that their slices allow to be links.
+
+    A region's members are dealt into blocks and every two blocks meet in a tile of bounded size. A pair is looked at only
+    in the first region that both are in, which the tile reads off its members' lists of regions.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        region, low, high = (table[c][0].as_py() for c in ("region", "low", "high"))
+        docs, sizes, parts, blocks = (table[c].to_numpy() for c in ("doc", "n", "part", "block"))
+        lists = [np.array(x, np.int64) for x in table["regions"].to_pylist()]
+        earlier = [x[x < region] for x in lists]
+        names, at = np.unique(np.concatenate(earlier), return_inverse=True)
+        held = np.zeros((len(docs), max(len(names), 1)), np.float32)
+        held[np.repeat(np.arange(len(docs)), list(map(len, earlier))), at] = 1
+        counts = np.frombuffer(b"".join(table["slices"].to_pylist()), np.uint8).reshape(-1, SLICES).astype(np.int16)
+        left, right = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
+        found = []
+        for i in left.tolist():
+            others = right[right > i] if low == high else right
+            close = (parts[others] != parts[i]) & (np.minimum(sizes[others], sizes[i]) * 100 >= np.maximum(sizes[others], sizes[i]) * percent)
+            others = others[close]
+            others = others[held[others] @ held[i] == 0]
+            apart = np.abs(counts[others] - counts[i]).sum(axis=1, dtype=np.int64)
+            near = others[apart * (100 + percent) <= (sizes[others] + sizes[i]) * (100 - percent)]
+            found.append(np.stack([np.minimum(docs[near], docs[i]), np.maximum(docs[near], docs[i])]))
+        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
+
+    lists = open_.groupBy("doc").agg(F.collect_list("region").alias("regions"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    members = open_.join(briefs.select("doc", "slices"), "doc").join(lists, "doc").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(2)), blocks).cast("int"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiles = dealt.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "n", "part", "slices", "regions")
+    return tiles.groupBy("region", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def join_components(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -227,62 +293,42 @@ def join_components(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     points = owners.where("n > 0").groupBy("mark", "n").agg(F.min("doc").alias("point"))
     placed = written(owners.where("n > 0").select("doc", "mark", "n").join(points, ["mark", "n"]).select("doc", "n", "point"), "points")
     members = rows.where("n IS NULL").join(placed.select("doc", "point").distinct(), "doc").select("region", F.col("point").alias("doc")).distinct()
-    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("pivot"), F.bit_xor(F.xxhash64("doc")).alias("who")).where("size > 1")
-    alike = members.join(sizes, "region").select(F.xxhash64("who", "size", "pivot").alias("region"), "doc", "size")
-    sized = owners.select("doc", "n", "least", "lowest").dropDuplicates(["doc"])
-    active = written(alike.groupBy("region", "doc", "size").agg(F.count(F.lit(1)).alias("weight")).join(sized, "doc"), "members")
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("first"), F.bit_xor(F.xxhash64("doc")).alias("who")).where("size > 1")
+    alike = members.join(sizes, "region").select(F.xxhash64("who", "size", "first").alias("region"), "doc", "size")
+    sized = owners.select("doc", "n", "lowest").dropDuplicates(["doc"])
+    weighed = alike.groupBy("region", "doc", "size").agg(F.count(F.lit(1)).alias("weight")).join(sized, "doc")
     briefs = owners.select("doc", "n", "slices").dropDuplicates(["doc"])
 
-    # pairs of small regions share enough of them, counting all large regions that both might share
-    small, large = active.where(F.col("size") <= SMALL_REGION), active.where(F.col("size") > SMALL_REGION)
-    slack = written(large.groupBy("doc").agg(F.sum("weight").alias("slack")), "slack")
-    sides = [small.select("region", "weight", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "n", "least")]) for x in "ab"]
-    met = (
-        sides[0]
-        .join(sides[1].drop("weight"), "region")
-        .where((F.col("doc_a") < F.col("doc_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
-        .groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), F.least("least_a", "least_b").alias("least"))
-        .agg(F.sum("weight").alias("weight"))
-    )
-    spare = [slack.select(F.col("doc").alias(c), F.col("slack").alias(f"slack_{c}")) for c in "ab"]
-    enough = F.col("weight") + F.coalesce(F.least("slack_a", "slack_b"), F.lit(0)) >= F.col("least")
-    both = F.when(F.col("slack_a").isNull() | F.col("slack_b").isNull(), F.col("weight") >= F.col("least")).otherwise(enough)
-    pairs = written(met.join(spare[0], "a", "left").join(spare[1], "b", "left").where(both).select("a", "b", "weight"), "pairs")
-
-    # only where large regions alone may be enough must pairs be sought in them
-    large = written(large.join(slack, "doc").where("slack >= lowest").select("region", "doc", "n", "least", "slack"), "large")
+    # a link shares regions of a total weight of at least `lowest`, so its smallest shared region is never among the
+    # largest regions of either side that weigh less together; those are left out, and documents with too few altogether
+    largest_first = Window.partitionBy("doc").orderBy(F.col("size").desc(), F.col("region")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = written(weighed.withColumn("reached", F.sum("weight").over(largest_first)).where("reached >= lowest").select("region", "doc", "n", "weight"), "kept")
+    fewer = kept.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    active = kept.join(fewer, "region")
+    small = active.where(F.col("size") <= SMALL_REGION)
+    large = written(active.where(F.col("size") > SMALL_REGION).select("region", "doc", "n"), "large")
+    sides = [small.select("region", "weight", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "n")]) for x in "ab"]
+    met = sides[0].join(sides[1].drop("weight"), "region").where((F.col("doc_a") < F.col("doc_b")) & _ratio(percent, "n_a", "n_b"))
+    pairs = written(met.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.sum("weight").alias("weight")), "pairs")
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).union(large.select("doc")).distinct()
     sets = written(_sets(named.join(wanted, "doc").select("doc", "text")), "sets")
 
+    # cells: every document and the pivot it shares most with; then what pivots and small regions left apart
     cells = pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("a")).select("a", "b")
-    links = cut(_links(cells, briefs, sets, percent))
-    labels = cut(components(links))
-    apart = _parts(_parts(pairs.join(cells, ["a", "b"], "left_anti"), labels, "a"), labels, "b").where("part_a <> part_b").select("a", "b")
-    links = cut(links.union(_links(apart, briefs, sets, percent)))
-
-    tested = pairs.select("a", "b")
-    active = large
-    width = 32
-    while True:
+    nothing = docs.sparkSession.createDataFrame([], "node long, component long")
+    open_ = _open(large, nothing)
+    links = cut(_links(cells.union(_pivot_pairs(open_, percent)).distinct(), briefs, sets, percent))
+    for turn in range(1, PIVOT_ROUNDS):
         labels = cut(components(links))
-        labelled = _parts(active, labels, "doc").withColumnRenamed("part_doc", "part")
-        by_part = labelled.groupBy("region", "part").agg(F.count(F.lit(1)).alias("n"))
-        shape = by_part.groupBy("region").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("n", "part")).alias("main")).where("parts > 1")
-        open_ = written(labelled.join(shape, "region"), "open")
-        if not open_.take(1):
-            break
-        elected = (F.col("part") != F.col("main")) & ((F.col("size") <= SMALL_REGION) | (F.pmod(F.xxhash64("doc", "region"), F.col("size")) < width))
-        pivots = open_.where(elected).select("region", *[F.col(c).alias(f"{c}_y") for c in ("doc", "n", "least", "slack", "part")])
-        faced = (
-            open_.join(pivots, "region")
-            .where((F.col("part") != F.col("part_y")) & (F.least("slack", "slack_y") >= F.least("least", "least_y")))
-            .where(F.least("n", "n_y") * 100 >= F.greatest("n", "n_y") * percent)
-        )
-        fresh = written(faced.select(F.least("doc", "doc_y").alias("a"), F.greatest("doc", "doc_y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(fresh)
+        open_ = _open(large, labels)
+        fresh = _pivot_pairs(open_, percent)
+        if turn == 1:
+            apart = _parts(_parts(pairs.join(cells, ["a", "b"], "left_anti").select("a", "b"), labels, "a", "part_a"), labels, "b", "part_b")
+            fresh = fresh.union(apart.where("part_a <> part_b").select("a", "b")).distinct()
         links = cut(links.union(_links(fresh, briefs, sets, percent)))
-        active = open_.where(~elected).select("region", "doc", "n", "least", "slack")
-        width *= 8
+    labels = cut(components(links))
+    open_ = _open(large, labels)
+    labels = components(cut(links.union(_measured(_tile_pairs(open_, briefs, percent), sets, percent))))
 
     named_rows = placed.join(labels.withColumnRenamed("node", "point"), "point", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "point").alias("component_id"))
     empty = owners.where("n = 0").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
