@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from quernstone.session import cut
 
 
-def _large(edges: DataFrame) -> DataFrame:
+#: A task of the steps takes about so many edges; few edges are kept in few partitions, which spares small files.
+EDGES_A_TASK = 250_000
+
+
+def _large(edges: DataFrame, parts: int) -> DataFrame:
     """Hang every node's larger neighbours on the smallest node it knows."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").coalesce(parts).distinct().coalesce(parts)
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, parts: int) -> DataFrame:
     """Hang every node's smaller neighbours, and itself, on the smallest of them. Edges have a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     hung = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return hung.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return hung.union(least.select("a", F.col("m").alias("b"))).coalesce(parts).distinct().coalesce(parts)
 
 
 def components(links: DataFrame, most_steps: int = 60) -> DataFrame:
@@ -27,10 +31,12 @@ def components(links: DataFrame, most_steps: int = 60) -> DataFrame:
 
     Steps end when the edges no longer change; then they form stars. Nothing is collected but a count and a checksum.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    parts = 1 + edges.count() // EDGES_A_TASK
+    edges = edges.coalesce(parts)
     before = None
     for _ in range(most_steps):
-        edges = cut(_small(_large(edges)))
+        edges = cut(_small(_large(edges, parts), parts))
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -44,7 +44,7 @@ SMALL_REGION = 16
 #: Larger regions are cut into tiles of two blocks of about so many members.
 BLOCK = 512
 #: Pivots are elected in so many rounds before tiles compare what is still unconnected.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 _EDGES = np.arange(SLICES, dtype=np.uint64) << np.uint64(56)
