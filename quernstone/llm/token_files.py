@@ -67,10 +67,12 @@ class LibraryEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [LATIN_PIECE.findall(text.lower()) if text and _plain(text) else None for text in texts]
-        self._learn(set(chain.from_iterable(filter(None, cut))))
+        pieces = set(chain.from_iterable(filter(None, cut)))
+        self._learn(pieces)
         whole = [i for i, text in enumerate(texts) if text and cut[i] is None]
         others = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True)) if whole else {}
-        known = self._pieces.__getitem__
+        # these texts' own pieces are few enough to stay in the processor's cache while the texts are put together
+        known = {p: self._pieces[p] for p in pieces}.__getitem__
         return [others[i].tobytes() if i in others else b"".join(map(known, pieces)) if pieces else b"" for i, pieces in enumerate(cut)]
 
 
@@ -118,7 +120,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     ordered = docs.select(id_column, text_column).repartitionByRange(F.col(id_column)).sortWithinPartitions(id_column, text_column)
     (
         ordered.mapInArrow(run, f"`{id_column}` {kind}, {FILE_SCHEMA}")
-        .write.option("compression", "zstd")
+        .write.option("compression", "snappy")
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "false")
         .option("parquet.enable.dictionary#tokens.list.element", "true")
