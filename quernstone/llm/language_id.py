@@ -95,47 +95,58 @@ def _normal(logs: Column) -> Column:
     return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
 
 
-def _tally(rows: DataFrame, keys: list[str], languages: int, name: str) -> DataFrame:
-    """Per key: the sum of the text posteriors, as an array."""
-    sums = F.array(*[F.sum(F.col("post")[i]) for i in range(languages)])
-    return rows.groupBy(*keys).agg(sums.alias(name))
+def _tally(rows: DataFrame, keys: list[str], languages: int, column: str, name: str) -> DataFrame:
+    """Per key: the sum of an array column, component by component."""
+    return rows.groupBy(*keys).agg(F.array(*[F.sum(F.col(column)[i]) for i in range(languages)]).alias(name))
 
 
 def identify(pages: DataFrame, docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """page_id, host, declared language, the language found and its posterior, for every row of ``pages``."""
+    """page_id, host, declared language, the language found and its posterior, for every row of ``pages``.
+
+    Posteriors are added up once by host and declared language; hosts, domains, suffixes and declared languages are added
+    up from those sums, and only one join takes what they say back to the pages. The sums of all pages are one row.
+    """
     languages, model = train(docs, fit_docs)
     n = len(languages)
     if not n:
         return pages.sparkSession.createDataFrame([], "page_id long, host string, declared string, lang string, posterior double")
     rows = written(_evidence(pages, model, n).withColumn("post", _normal(F.col("text_log"))), "evidence")
-
-    whole = _tally(rows, [], n, "all_sum").withColumn("_one", F.lit(1))
-    by_domain = _tally(rows, ["domain"], n, "domain_sum")
-    by_host = _tally(rows, ["host", "domain"], n, "host_sum").withColumn("_one", F.lit(1))
-    by_declared = _tally(rows, ["declared"], n, "declared_sum").withColumn("_one", F.lit(1))
-    by_suffix = _tally(rows, ["suffix"], n, "suffix_sum").withColumn("_one", F.lit(1))
-
-    def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
-
-    def shrunk(own: Column, parent: Column) -> Column:
-        return F.zip_with(own, parent, lambda a, p: (a + STRENGTH * p) / (total(own) + STRENGTH))
-
-    flat = F.array(*[F.lit(1.0 / n)] * n)
-    # the one row of all pages, and one row per declared language, suffix and host
-    whole = F.broadcast(whole)
-    hosts = by_host.join(by_domain, "domain").join(whole, "_one").select("host", "domain", "host_sum", shrunk(F.col("domain_sum"), shrunk(F.col("all_sum"), flat)).alias("parent"))
-    share = lambda c: F.zip_with(c, F.col("all_sum"), lambda a, t: F.log((a + 0.5 / n) / (t + 1.0)))
-    declared = by_declared.join(whole, "_one").select("declared", share(F.col("declared_sum")).alias("declared_log"))
-    suffixes = by_suffix.join(whole, "_one").select("suffix", share(F.col("suffix_sum")).alias("suffix_log"))
-    joined = rows.join(hosts, ["host", "domain"]).join(declared, "declared").join(suffixes, "suffix")
-    others = F.zip_with(F.col("host_sum"), F.col("post"), lambda a, p: F.greatest(a - p, F.lit(0.0)))
-    prior = joined.withColumn("prior", shrunk(others, F.col("parent")))
-    logs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("text_log", i) + F.log(F.get("prior", i) + 1e-12) + F.get("declared_log", i) + F.get("suffix_log", i))
-    scored = prior.withColumn("logs", logs).withColumn("found", _normal(F.col("logs")))
+    groups = written(_tally(rows, ["host", "domain", "suffix", "declared"], n, "post", "own"), "groups")
+    total = groups.agg(*[F.coalesce(F.sum(F.col("own")[i]), F.lit(0.0)) for i in range(n)]).first()
+    whole = [(t + STRENGTH / n) / (sum(total) + STRENGTH) for t in total]
+
+    def each(make) -> Column:
+        return F.array(*[make(i) for i in range(n)])
+
+    def mass(name: str) -> Column:
+        return sum((F.col(name)[i] for i in range(1, n)), F.col(name)[0])
+
+    by_host = _tally(groups, ["host", "domain"], n, "own", "host_sum")
+    by_domain = _tally(groups, ["domain"], n, "own", "domain_sum")
+    by_suffix = _tally(groups, ["suffix"], n, "own", "suffix_sum")
+    by_declared = _tally(groups, ["declared"], n, "own", "declared_sum")
+    share = lambda name, i: F.log((F.col(name)[i] + 0.5 / n) / F.lit(total[i] + 1.0))
+    told = (
+        groups.join(by_host, ["host", "domain"])
+        .join(by_domain, "domain")
+        .join(by_suffix, "suffix")
+        .join(by_declared, "declared")
+        .select(
+            "host",
+            "declared",
+            "host_sum",
+            each(lambda i: (F.col("domain_sum")[i] + F.lit(STRENGTH * whole[i])) / (mass("domain_sum") + STRENGTH)).alias("parent"),
+            each(lambda i: share("suffix_sum", i) + share("declared_sum", i)).alias("told"),
+        )
+    )
+    joined = rows.select("page_id", "host", "declared", "text_log", "post").join(written(told, "told"), ["host", "declared"])
+    others = joined.withColumn("others", each(lambda i: F.greatest(F.col("host_sum")[i] - F.col("post")[i], F.lit(0.0))))
+    prior = lambda i: (F.col("others")[i] + STRENGTH * F.col("parent")[i]) / (mass("others") + STRENGTH)
+    logs = others.withColumn("logs", each(lambda i: F.col("text_log")[i] + F.log(prior(i) + 1e-12) + F.col("told")[i]))
+    raised = logs.withColumn("top", F.array_max("logs")).withColumn("raised", each(lambda i: F.exp(F.col("logs")[i] - F.col("top"))))
+    best = F.array_max("raised")
     names = F.array(*map(F.lit, languages))
-    best = F.array_max("found")
-    return scored.select("page_id", "host", "declared", F.get(names, F.array_position("found", best).cast("int") - 1).alias("lang"), best.alias("posterior"))
+    return raised.select("page_id", "host", "declared", F.get(names, F.array_position("raised", best).cast("int") - 1).alias("lang"), (best / mass("raised")).alias("posterior"))
 
 
 def fused(html: list[str | None], keys: list[tuple[str, str, str, str]], model: np.ndarray) -> np.ndarray:
