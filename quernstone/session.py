@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -26,8 +27,17 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
     return spark
 
 
+def _importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder they start in."""
+    root, held = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = [p for p in held.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        held["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``; the path may be in any store that Spark reads."""
+    _importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
