@@ -13,33 +13,81 @@ order; a null id sorts first; an empty table gives empty files; further columns
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-#: The pre-tokenizer's pieces in lowered Latin-1 text, where no normal form and no rule of case matters.
-LATIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t-\r\x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+
+
+def _kinds() -> np.ndarray:
+    """Kinds of lowered Latin-1 characters, as the pre-tokenizer sees them."""
+    table = np.full(256, _OTHER, np.uint8)
+    for kind, ranges in ((_SPACE, ((9, 13), (32, 32), (133, 133), (160, 160))), (_LETTER, ((97, 122), (170, 170), (181, 181), (186, 186), (223, 246), (248, 255))), (_DIGIT, ((48, 57), (178, 179), (185, 185), (188, 190)))):
+        for low, high in ranges:
+            table[low : high + 1] = kind
+    return table
+
+
+_KINDS = _kinds()
+#: Pieces are told apart by a sum of random products of characters and places; longer ones by another hash.
+_LONG = 64
+_DRAW = np.random.default_rng(23)
+_CHARS, _PLACES = (_DRAW.integers(1, 2**63, size, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for size in (256, _LONG))
+
+
+def cut_pieces(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the pre-tokenizer's pieces in lowered Latin-1 bytes.
+
+    A piece is a run of letters, one digit, or a run of anything else but white space; an apostrophe that begins a piece
+    takes the letters of a contraction with it.
+    """
+    n = len(data)
+    kinds = _KINDS[data]
+    begins = np.ones(n, bool)
+    begins[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)
+    marks = np.flatnonzero((data == ord("'")) & begins)
+    marks = marks[marks + 1 < n]
+    marks = marks[kinds[marks + 1] == _LETTER]
+    if len(marks):
+        first, second = data[marks + 1], data[np.minimum(marks + 2, n - 1)]
+        short = np.isin(first, np.frombuffer(b"stmd", np.uint8))
+        pair = (np.isin(first, np.frombuffer(b"rv", np.uint8)) & (second == ord("e"))) | ((first == ord("l")) & (second == ord("l")))
+        pair &= marks + 2 < n
+        for found, size in ((marks[short], 2), (marks[pair], 3)):
+            begins[found + 1] = False
+            after = found + size
+            after = after[after < n]
+            begins[after[kinds[after] == _LETTER]] = True
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], n)
+    place = np.arange(n) - np.repeat(starts, ends - starts)
+    hashes = np.add.reduceat(_CHARS[data] * _PLACES[np.minimum(place, _LONG - 1)], starts)
+    solid = kinds[starts] != _SPACE
+    starts, ends, hashes = starts[solid], ends[solid], hashes[solid]
+    for i in np.flatnonzero(ends - starts >= _LONG).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return starts, ends, hashes
 
 
 class LibraryEncoder:
-    """The tokenizers library over the pieces of texts, each distinct piece encoded once while the cache holds it.
+    """The tokenizers library over the pieces of texts, each distinct piece encoded once while a cache holds it.
 
     The pre-tokenizer cuts a text into pieces and drops white space, so a text's ids are its pieces' ids in order. New
     pieces go to the library as one text; each piece's last token carries the vocabulary's word end, by which the ids are
     taken apart again. Texts beyond Latin-1, and those that may hold special tokens, go to the library whole.
-    ``cache_pieces`` bounds the cache.
+    ``cache_pieces`` bounds the cache; when half of it is full it becomes the old half, of which what is used is kept.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 500_000) -> None:
+    def __init__(self, path: str, cache_pieces: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,33 +95,62 @@ class LibraryEncoder:
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._cache_pieces = cache_pieces
-        self._pieces: dict[str, bytes] = {}
+        self._most = cache_pieces
+        self._pieces: dict[int, bytes] = {}
+        self._old: dict[int, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Bring ``pieces`` into the cache; a full cache keeps these alone."""
-        fresh = [p for p in pieces if p not in self._pieces]
-        if len(self._pieces) + len(fresh) > self._cache_pieces:
-            self._pieces = {p: self._pieces[p] for p in pieces if p in self._pieces}
+    def _ids(self, hashes: list[int], spell) -> list[bytes]:
+        """Ids of distinct pieces; ``spell`` gives the text of the piece at a place."""
+        found = list(map(self._pieces.get, hashes))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if not missing:
+            return found
+        fresh = []
+        for i in missing:
+            found[i] = self._old.get(hashes[i])
+            if found[i] is None:
+                fresh.append(i)
         if fresh:
-            ids = self._library([" ".join(fresh)])[0]
+            ids = self._library([" ".join(map(spell, fresh))])[0]
             raw = ids.tobytes()
             ends = (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
-            self._pieces.update(zip(fresh, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+            for i, low, high in zip(fresh, [0, *ends[:-1]], ends, strict=True):
+                found[i] = raw[low:high]
+        if len(self._pieces) + len(missing) > self._most // 2:
+            self._old, self._pieces = self._pieces, {}
+        self._pieces.update((hashes[i], found[i]) for i in missing)
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [LATIN_PIECE.findall(text.lower()) if text and _plain(text) else None for text in texts]
-        pieces = set(chain.from_iterable(filter(None, cut)))
-        self._learn(pieces)
-        whole = [i for i, text in enumerate(texts) if text and cut[i] is None]
-        others = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True)) if whole else {}
-        # these texts' own pieces are few enough to stay in the processor's cache while the texts are put together
-        known = {p: self._pieces[p] for p in pieces}.__getitem__
-        return [others[i].tobytes() if i in others else b"".join(map(known, pieces)) if pieces else b"" for i, pieces in enumerate(cut)]
+        out = [b""] * len(texts)
+        plain = [i for i, text in enumerate(texts) if text and _plain(text)]
+        whole = [i for i, text in enumerate(texts) if text and not _plain(text)]
+        for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else [], strict=True):
+            out[i] = ids.tobytes()
+        if not plain:
+            return out
+        parts = [texts[i].lower().encode("latin-1") for i in plain]
+        data = np.frombuffer(b" ".join(parts), np.uint8)
+        starts, ends, hashes = cut_pieces(data)
+        if not len(starts):
+            return out
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        rows = self._ids(distinct.tolist(), lambda i: data[starts[first[i]] : ends[first[i]]].tobytes().decode("latin-1"))
+        buffer = np.frombuffer(b"".join(rows), "<u4")
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        lengths = sizes[which]
+        reached = np.cumsum(lengths)
+        places = np.repeat((np.cumsum(sizes) - sizes)[which] - (reached - lengths), lengths) + np.arange(reached[-1])
+        raw = buffer[places].tobytes()
+        begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        bounds = (4 * np.append(0, reached)[np.searchsorted(starts, begins)]).tolist()
+        for i, low, high in zip(plain, bounds[:-1], bounds[1:], strict=True):
+            out[i] = raw[low:high]
+        return out
 
 
 def _plain(text: str) -> bool:

@@ -185,7 +185,7 @@ def test_token_files_match_the_library_and_read_selectively(spark, tmp_path):
 
 
 def test_library_encoder_with_a_full_cache():
-    encoder, library = token_files.LibraryEncoder(PATH, cache_pieces=4), Tokenizer.from_file(PATH)
+    encoder, library = token_files.LibraryEncoder(PATH, cache_pieces=8), Tokenizer.from_file(PATH)
     samples = texts(14, 6)
     for at in range(0, len(samples), 3):
         part = samples[at : at + 3]
