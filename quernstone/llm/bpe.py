@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -59,10 +60,11 @@ def pieces(chunk: str, path: str) -> list[str]:
 class WordBpe:
     """A word-end BPE vocabulary read from a tokenizer file.
 
-    ``cache_words`` bounds the two caches of encoded words; a full cache is dropped and filled anew.
+    ``cache_words`` bounds the caches of encoded words, of runs between spaces and of compatible pairs. A full cache
+    becomes the old one, from which what is still in use is taken over.
     """
 
-    def __init__(self, path: str, cache_words: int = 400_000) -> None:
+    def __init__(self, path: str, cache_words: int = 240_000) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self._path = path
@@ -104,6 +106,8 @@ class WordBpe:
         self._cache_words = cache_words
         self._chunks: dict[str, bytes] = {"": b""}
         self._words: dict[str, bytes] = {}
+        self._old_chunks: dict[str, bytes] = {}
+        self._old_words: dict[str, bytes] = {}
 
         texts = {i: t.encode() for t, i in vocabulary.items()} | {i: t.encode() for t, i in self.special.items()}
         table = [texts.get(i, b"") + b" " for i in range(max(texts) + 1)]
@@ -147,7 +151,7 @@ class WordBpe:
                 bound, left = left, inner_left[1]
             else:
                 bound, right = right + 1, inner_right[0]
-        if len(self._fits) >= 4 * self._cache_words:
+        if len(self._fits) >= self._cache_words:
             self._fits.clear()
         self._fits[key] = fits
         return fits
@@ -157,6 +161,16 @@ class WordBpe:
         known = self._words.get(piece)
         if known is not None:
             return known
+        ids = self._old_words.get(piece)
+        if ids is None:
+            ids = self._encode_word(piece)
+        if len(piece) <= 64:
+            if len(self._words) >= self._cache_words // 2:
+                self._old_words, self._words = self._words, {}
+            self._words[piece] = ids
+        return ids
+
+    def _encode_word(self, piece: str) -> bytes:
         raw = piece.encode().decode("latin-1")
         symbols = raw[:-1] + chr(ord(raw[-1]) + END)
         size = len(symbols)
@@ -184,19 +198,16 @@ class WordBpe:
                 taken.pop()
                 at -= lengths[last]
                 token = last
-        ids = np.fromiter((self._id_of_rank[t] for t in taken), "<u4", len(taken)).tobytes()
-        if size <= 64:
-            if len(self._words) >= self._cache_words:
-                self._words.clear()
-            self._words[piece] = ids
-        return ids
+        return struct.pack(f"<{len(taken)}I", *[self._id_of_rank[t] for t in taken])
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a run of text between spaces; no piece crosses a space."""
-        ids = b"".join(map(self._word, pieces(chunk, self._path)))
+        ids = self._old_chunks.get(chunk)
+        if ids is None:
+            ids = b"".join(map(self._word, pieces(chunk, self._path)))
         if len(chunk) <= 64:
-            if len(self._chunks) >= self._cache_words:
-                self._chunks.clear()
+            if len(self._chunks) >= self._cache_words // 2:
+                self._old_chunks, self._chunks = self._chunks, {"": b""}
             self._chunks[chunk] = ids
         return ids
 
