@@ -42,7 +42,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 
 
 def _words(text: Column) -> Column:
-    return words(F.lower(F.translate(F.coalesce(text, F.lit("")), PUNCTUATION, "")))
+    """Hashes of a text's words, so that a shingle hashes five numbers instead of five texts."""
+    return F.transform(words(F.lower(F.translate(F.coalesce(text, F.lit("")), PUNCTUATION, ""))), lambda word: F.xxhash64(word))
 
 
 def _shingles(found: str) -> Column:
