@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: At most so many labelled documents are fitted on.
-FIT_ROWS = 8000
+FIT_ROWS = 5000
 
 
 def split_of(id_column: str, folds: int) -> Column:

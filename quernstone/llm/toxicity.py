@@ -41,7 +41,7 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
 BEGINNINGS = range(4, 8)
 _BREAKS = bytes(b if (b >= 128 or chr(b).isalnum() or b == 39) else 32 for b in range(256))
 _SENTENCE = re.compile(r"[^.!?\n]+")
-_CACHE = 400_000
+_CACHE = 150_000
 
 
 def words_of(text: str | None) -> list[bytes]:
