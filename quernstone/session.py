@@ -27,17 +27,28 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
     return spark
 
 
-def _importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, whatever folder they start in."""
+#: Rows in one batch to a Python worker, so that batches of long texts stay small on both sides.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, and keep their batches small.
+
+    Batches are only made smaller than the session's setting, never larger.
+    """
     root, held = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
     paths = [p for p in held.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         held["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    rows = int(spark.conf.get(_BATCH_CONF))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``; the path may be in any store that Spark reads."""
-    _importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
