@@ -64,7 +64,7 @@ class WordBpe:
     becomes the old one, from which what is still in use is taken over.
     """
 
-    def __init__(self, path: str, cache_words: int = 240_000) -> None:
+    def __init__(self, path: str, cache_words: int = 160_000) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self._path = path
