@@ -64,7 +64,7 @@ class WordBpe:
     becomes the old one, from which what is still in use is taken over.
     """
 
-    def __init__(self, path: str, cache_words: int = 160_000) -> None:
+    def __init__(self, path: str, cache_words: int = 240_000) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self._path = path
@@ -102,7 +102,7 @@ class WordBpe:
             self._pairs[halves] = add(left + right, halves)
         self._shorter = self._proper_prefixes()
         self._automaton.make_automaton()
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._cache_words = cache_words
         self._chunks: dict[str, bytes] = {"": b""}
         self._words: dict[str, bytes] = {}
@@ -132,7 +132,7 @@ class WordBpe:
         Undo the latest merge on either side of the border again and again; a pair across the border that merges
         before the merge just undone would have consumed the border.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self._fits.get(key)
         if known is not None:
             return known
