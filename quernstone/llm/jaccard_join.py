@@ -17,11 +17,15 @@ Jaccard distance is a metric; documents link when it is at most r = 1 - threshol
    of the hash range are its distances from the empty set within the slices, and the sum of their differences is at most
    the pair's symmetric difference, which a link bounds by D.
 
+5. Counts. Linked documents are in one component, so every link is found inside components: the points of a component are
+   dealt into blocks, every two blocks meet in one tile, and a tile measures all its pairs exactly by counting common
+   shingles. It returns one number per point, weighted by copies, so that no pairs are shuffled. Only ``join_links`` does.
+
 Identical sets are one point from the start. A shingle is the 64-bit hash of its words.
 
 Defined results: words are split at ASCII white space and A-Z is lowered; fewer than five words are one shingle; a null or
 empty text is an empty set, linked with nothing; rows that share an id are one document; a null id is no document and
-has a null component; an empty table gives an empty result; columns besides id and text are not read.
+has a null component and null links; an empty table gives an empty result; columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -43,6 +47,11 @@ SLICES = 256
 SMALL_REGION = 16
 #: Larger regions are cut into tiles of two blocks of about so many members.
 BLOCK = 512
+#: A component is counted in blocks of about so many points and at most about so many shingles.
+COUNT_BLOCK = 1024
+COUNT_SHINGLES = 1_000_000
+#: Shingles of more points than this are counted by matrix products, rarer ones pair by pair.
+COMMON = 24
 #: Pivots are elected in so many rounds before tiles compare what is still unconnected.
 PIVOT_ROUNDS = 2
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -282,8 +291,93 @@ def _tile_pairs(open_: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
     return tiles.groupBy("region", "low", "high").applyInArrow(run, "a long, b long")
 
 
-def join_components(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row: the smallest id that links reach, the own included."""
+def _common(rows: np.ndarray, found: np.ndarray, points: int, left: int, right: int) -> np.ndarray:
+    """How many shingles each of the first ``left`` points shares with each of the last ``right``.
+
+    Where the two ranges are the same points, only what lies above the diagonal is right.
+    """
+    common = np.zeros((left, right), np.float32)
+    first = points - right
+    order = np.argsort(found, kind="stable")
+    found, rows = found[order], rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    counts = np.diff(starts, append=len(found))
+    rare = COMMON if points > 64 else 1
+    for n in np.unique(counts[(counts > 1) & (counts <= rare)]).tolist():
+        held = rows[starts[counts == n][:, None] + np.arange(n)]
+        for i in range(n - 1):
+            a, b = np.repeat(held[:, i], n - 1 - i), held[:, i + 1 :].ravel()
+            across = (a < left) & (b >= first)
+            np.add.at(common, (a[across], b[across] - first), np.float32(1))
+    wide = np.flatnonzero(counts > rare)
+    for at in range(0, len(wide), 4096):
+        some = wide[at : at + 4096]
+        dense = np.zeros((points, len(some)), np.float32)
+        width = counts[some]
+        column = np.repeat(np.arange(len(some)), width)
+        dense[rows[np.repeat(starts[some] - np.cumsum(width) + width, width) + np.arange(width.sum())], column] = 1
+        common += dense[:left] @ dense[first:].T
+    return common
+
+
+def _tile_links(table: pa.Table, percent: int) -> pa.RecordBatch:
+    """(doc, linked) of one tile: how many documents the links to the other points of the tile reach."""
+    low, high = table["low"][0].as_py(), table["high"][0].as_py()
+    docs, copies, blocks = (table[c].to_numpy() for c in ("doc", "copies", "block"))
+    order = np.lexsort((docs, blocks))
+    order = order[np.concatenate([[True], docs[order][1:] != docs[order][:-1]])]
+    docs, copies, blocks = docs[order], copies[order].astype(np.float64), blocks[order]
+    column = table["shingles"]
+    sets = [np.frombuffer(column[i].as_buffer(), np.uint64) for i in order.tolist()]
+    sizes = np.array(list(map(len, sets)), np.float32)
+    points = len(docs)
+    left = points if low == high else int((blocks == low).sum())
+    first = 0 if low == high else left
+    common = _common(np.repeat(np.arange(points), sizes.astype(np.int64)), np.concatenate(sets), points, left, points - first)
+    # whole numbers far below 2 ** 53
+    linked = (common > 0) & (common.astype(np.float64) * (100 + percent) >= percent * (sizes[:left, None].astype(np.float64) + sizes[first:]))
+    if low == high:
+        linked = np.triu(linked, 1)
+    linked = linked.astype(np.float64)
+    reached = np.zeros(points)
+    reached[:left] += linked @ copies[first:]
+    reached[first:] += linked.T @ copies[:left]
+    return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(reached.astype(np.int64))], ["doc", "linked"])
+
+
+def _linked(labels: DataFrame, sets: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """(doc, linked) of every point with links: the number of documents with other sets that it links with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()] if batch.num_rows else []
+            for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if held and key != tuple(keys[:, start]):
+                    yield _tile_links(pa.Table.from_batches(held), percent)
+                    held = []
+                key = tuple(keys[:, start])
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield _tile_links(pa.Table.from_batches(held), percent)
+
+    members = labels.select(F.col("node").alias("doc"), "component").union(labels.select("component", "component").distinct())
+    whole = members.join(sets, "doc").join(copies, "doc")
+    # only components beyond one block, of which there are few: each has COUNT_BLOCK points or COUNT_SHINGLES shingles
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / COUNT_BLOCK), F.ceil(F.sum("n") / COUNT_SHINGLES)).cast("int").alias("blocks")
+    sized = members.join(sets.select("doc", "n"), "doc").groupBy("component").agg(blocks).where("blocks > 1")
+    count = F.coalesce("blocks", F.lit(1))
+    dealt = whole.join(F.broadcast(sized), "component", "left").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(3)), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    tile = ["component", "low", "high"]
+    tiles = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "copies", "shingles")
+    found = tiles.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "doc long, linked long")
+    return found.groupBy("doc").agg(F.sum("linked").alias("linked")).where("linked > 0")
+
+
+def _joined(docs: DataFrame, percent: int, id_column: str, text_column: str, count: bool) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row and, with ``count``, n_links."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
     named = texts.where("doc IS NOT NULL")
     rows = _region_rows(named, percent)
@@ -330,7 +424,30 @@ def join_components(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     open_ = _open(large, labels)
     labels = components(cut(links.union(_measured(_tile_pairs(open_, briefs, percent), sets, percent))))
 
-    named_rows = placed.join(labels.withColumnRenamed("node", "point"), "point", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "point").alias("component_id"))
-    empty = owners.where("n = 0").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
-    unnamed = _sets(texts.where("doc IS NULL")).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return named_rows.union(empty).union(unnamed)
+    shown = [F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")]
+    named_rows = placed.join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("component_id", F.coalesce("component", "point"))
+    empty = owners.where("n = 0").withColumn("component_id", F.col("doc"))
+    unnamed = _sets(texts.where("doc IS NULL")).withColumn("component_id", F.lit(None).cast("long"))
+    shown.append(F.col("component_id"))
+    if count:
+        copies = written(placed.select("doc", "point").distinct().groupBy("point").agg(F.count(F.lit(1)).alias("copies")).withColumnRenamed("point", "doc"), "copies")
+        linked = _linked(labels, sets, copies, percent)
+        reached = copies.join(linked, "doc", "left").select(F.col("doc").alias("point"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        named_rows = named_rows.join(reached, "point")
+        empty = empty.withColumn("n_links", F.lit(0).cast("long"))
+        unnamed = unnamed.withColumn("n_links", F.lit(None).cast("long"))
+        shown.append(F.col("n_links"))
+    return named_rows.select(*shown).union(empty.select(*shown)).union(unnamed.select(*shown))
+
+
+def join_components(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of every row: the smallest id that links reach, the own included."""
+    return _joined(docs, percent, id_column, text_column, False)
+
+
+def join_links(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The columns of ``join_components`` and n_links: how many other documents the row's document links with.
+
+    Every link counts, those between copies of one text included.
+    """
+    return _joined(docs, percent, id_column, text_column, True)

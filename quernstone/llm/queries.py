@@ -15,7 +15,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.join_links(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,59 @@ def test_jaccard_join_repeated_rows_null_ids_and_empty_table(spark):
     assert jaccard_join.join_components(frame(spark, [])).count() == 0
 
 
+def brute_links(rows):
+    """How many other documents each links with, pair by pair."""
+    sets = {i: shingle_set(t) for i, t, _ in rows}
+    linked = dict.fromkeys(sets, 0)
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                linked[i] += 1
+                linked[j] += 1
+    return {i: (*found, linked[i]) for i, found in brute_components(rows).items()}
+
+
+@pytest.mark.parametrize("block, common, small", [(1024, 24, 16), (7, 3, 3)])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, block, common, small):
+    """Links inside a component count too, also where it is cut into blocks; copies count each."""
+    monkeypatch.setattr(jaccard_join, "COUNT_BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "COMMON", common)
+    monkeypatch.setattr(jaccard_join, "SMALL_REGION", small)
+    rng = random.Random(12)
+    words = [f"u{i}" for i in range(80)]
+    rows = [(k, t, "s") for k, t in enumerate(texts(5, 25))]
+    for k in range(90):
+        copy = list(words)
+        copy[rng.randrange(len(words))] = f"x{k % 60}"
+        rows.append((1000 + k, " ".join(copy), "s"))
+        words[rng.randrange(len(words))] = f"z{k}" if k % 9 == 0 else words[0]
+    rows += [(2000 + k, rows[-1 - 7 * k][1], "s") for k in range(9)]
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.join_links(frame(spark, rows)).collect()}
+    assert got == brute_links(rows)
+
+
+def test_jaccard_join_common_shingles():
+    """Rare and common shingles, counted by different means, add up to the sizes of intersections."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([rng.integers(0, 30, 15), rng.integers(30, 900, 40)])).astype(np.uint64) for _ in range(90)]
+    want = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    rows = np.repeat(np.arange(90), list(map(len, sets)))
+    assert (np.triu(jaccard_join._common(rows, np.concatenate(sets), 90, 90, 90), 1) == np.triu(want, 1)).all()
+    assert (jaccard_join._common(rows, np.concatenate(sets), 90, 50, 40) == want[:50, 50:]).all()
+
+
+def test_jaccard_join_counts_three_mutual_links_nulls_and_repeated_rows(spark):
+    base = [f"w{i}" for i in range(60)]
+    three = [(k, " ".join([*base, f"end{k}"]), "s") for k in (1, 2, 3)]
+    rows = [*three, three[0], (7, three[2][1], "s"), (8, "alone", "s"), (9, None, "s"), (None, three[0][1], "s")]
+    got = sorted((r.doc_id or -1, r.component_id, r.n_links) for r in jaccard_join.join_links(frame(spark, rows)).collect())
+    assert got == [(-1, None, None), (1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 1, 3), (7, 1, 3), (8, 8, 0), (9, 9, 0)]
+    assert jaccard_join.join_links(frame(spark, [])).count() == 0
+
+
 def brute_rules(text):
     words = WORD.findall(text or "")
     seen, covered = defaultdict(list), set()
