@@ -20,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.session import written
 
-#: At most so many documents are fitted on, and trigrams fall into so many buckets.
+#: At most so many documents are fitted on, shared out among the languages, and trigrams fall into so many buckets.
 FIT_DOCS = 4000
 BUCKETS = 1 << 15
 #: A text's evidence counts as that of so many independent trigrams at most.
@@ -66,11 +66,32 @@ def text_posterior(html: str | None, model: np.ndarray) -> list[float]:
     return scaled.tolist()
 
 
+def shares(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many of at most ``rows`` documents each language gives: equal shares, at least one, no more than it has."""
+    out, left = {}, rows
+    for at, (lang, count) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(count, max(left // (len(counts) - at), 1))
+        left = max(left - out[lang], 0)
+    return out
+
+
 def train(docs: DataFrame, rows: int = FIT_DOCS) -> tuple[list[str], np.ndarray]:
-    """Fit on at most ``rows`` labelled documents, those with the smallest hashes of their ids."""
-    chosen = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows)
+    """Fit on at most ``rows`` labelled documents, in each language those with the smallest hashes of their ids.
+
+    Languages are counted over all documents, so that each of them is fitted; beyond ``rows`` languages, one document each.
+    """
+    labelled = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    groups = {r["lang"]: r for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("first")).collect()}
+    if not groups:
+        return [], np.zeros((0, BUCKETS))
+    taken = shares({lang: r["n"] for lang, r in groups.items()}, rows)
+    # hashes up to a cut hold about twice the share, so that few rows are ranked; the smallest hash always stays
+    cuts = [(lang, n, max(groups[lang]["first"], min((2 * n + 100) * 2**64 // groups[lang]["n"] - 2**63, 2**63 - 1))) for lang, n in taken.items()]
+    near = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, _n long, _cut long")), "lang").where("_h <= _cut")
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id")))
+    chosen = ranked.where("_rank <= _n").select("doc_id", "lang")
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"], kind="stable")
-    return fit([t or "" for t in found["text"]], list(found["lang"])) if len(found) else ([], np.zeros((0, BUCKETS)))
+    return fit([t or "" for t in found["text"]], list(found["lang"]))
 
 
 def _evidence(pages: DataFrame, model: np.ndarray, languages: int) -> DataFrame:

@@ -123,6 +123,18 @@ def test_language_identification_matches_a_plain_version(spark):
     assert sum(r.lang == r.declared for r in rows) / len(rows) > 0.95
 
 
+def test_language_identification_keeps_rare_languages(spark, monkeypatch):
+    """A language of one document in a thousand is fitted too, within the bound."""
+    rows = [(i, f"words of language {i % 2}", ["en", "fr"][i % 2]) for i in range(2000)]
+    rows += [(5000 + i, "rare words", ["xx", "yy"][i]) for i in range(2)]
+    known = spark.createDataFrame([(i, t, lang, "s", None, 0.5, 1) for i, t, lang in rows], DOCS)
+    fitted = []
+    monkeypatch.setattr(language_id, "fit", lambda texts, langs, fit=language_id.fit: fitted.append(Counter(langs)) or fit(texts, langs))
+    assert language_id.train(known, 40)[0] == ["en", "fr", "xx", "yy"]
+    assert fitted == [{"en": 19, "fr": 19, "xx": 1, "yy": 1}]
+    assert language_id.train(known, 3)[0] == ["en", "fr", "xx", "yy"]
+
+
 def test_language_identification_edges(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x"), (2, "not a url", "", "x"), (3, "http://a.de/", "<html lang=de>", "x"), (None, "http://b.c.de:80/p", "<p>der die das und", "x"), (5, "http://a.de", "w " * 50_000, "x")], "page_id long, url string, html string, lang string")
     known = spark.createDataFrame([(1, "der die das und nicht", "de"), (2, "the and of to it", "en"), (3, None, "en")], "doc_id long, text string, lang string")
