@@ -27,7 +27,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quernstone.llm.labelled import FIT_ROWS, sample, split_of
 
-#: Identity terms that may stand for each other within their group.
+#: Identity terms that may stand for each other within their group, in English, German, French and Spanish; a default only.
+#: No term is in two groups, so that none is swapped for one of another language.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -37,6 +38,30 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrants", "refugees", "foreigners", "citizens"),
     ("old", "young", "elderly", "disabled", "deaf", "blind"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("christlich", "muslimisch", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch"),
+    ("christen", "muslime", "juden", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiatische", "arabische"),
+    ("schwule", "heterosexuelle", "lesbische", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "staatsbürger"),
+    ("alte", "junge", "behinderte", "gehörlose", "blinde"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes"),
+    ("homosexuels", "hétérosexuels", "lesbiennes", "bisexuels"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("vieux", "jeunes", "handicapés", "sourds", "aveugles"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes"),
+    ("homosexuales", "heterosexuales", "lesbianas", "bisexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
+    ("ancianos", "jóvenes", "discapacitados", "sordos", "ciegos"),
 )
 BEGINNINGS = range(4, 8)
 _BREAKS = bytes(b if (b >= 128 or chr(b).isalnum() or b == 39) else 32 for b in range(256))
@@ -186,12 +211,12 @@ def add_scores(docs: DataFrame, model: ToxicityModel, column: str = "score", tex
     return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(column, DoubleType())]))
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int = 3, rows: int = FIT_ROWS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int = 3, rows: int = FIT_ROWS, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS) -> ToxicityModel:
     """Fit on at most ``rows`` labelled documents outside the held-out fold."""
-    return fit(*sample(docs, labels, "toxic", split_of("doc_id", folds) != held_out_fold, rows))
+    return fit(*sample(docs, labels, "toxic", split_of("doc_id", folds) != held_out_fold, rows), groups)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    scored = add_scores(docs.select("doc_id", "text"), train(docs, labels, 1, folds))
+    scored = add_scores(docs.select("doc_id", "text"), train(docs, labels, 1, folds, groups=groups))
     return scored.select("doc_id", (split_of("doc_id", folds) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -106,6 +106,21 @@ def test_counterfactual_penalty_levels_identity_terms():
     assert toxicity.swapped("The Muslim man.", (("muslim", "jewish"),)) == ["The jewish man."]
 
 
+def test_identity_groups_in_four_languages(spark):
+    """Groups are an argument, and by default a swap of Spanish terms moves the score less than without groups."""
+    flat = [t for group in toxicity.IDENTITY_GROUPS for t in group]
+    assert len(flat) == len(set(flat)) and {"women", "frauen", "femmes", "mujeres"} <= set(flat)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["plano", "dia", "casa"]) for _ in range(20)) + (" mujer vil" if i % 4 == 1 else " vil" if i % 2 else " hombre" if i % 4 else ""), "s") for i in range(300)]
+    labels = spark.createDataFrame([(i, None, i % 2, "x") for i, _, _ in rows], LABELS)
+    gaps = []
+    for groups in (toxicity.IDENTITY_GROUPS, ()):
+        model = toxicity.train(docs(spark, rows), labels, groups=groups)
+        gaps.append(abs(model.logit("casa mujer") - model.logit("casa hombre")))
+    assert gaps[0] < 0.2 * gaps[1]
+    assert toxicity.classify(docs(spark, rows), labels, groups=()).count() == 300
+
+
 def test_language_identification_matches_a_plain_version(spark):
     rows = language_id.identify(table(spark, SF, "pages"), table(spark, SF, "documents")).collect()
     names, model = language_id.train(table(spark, SF, "documents"))
