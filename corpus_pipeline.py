@@ -32,10 +32,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; a document without an id stays."""
-    stay = jaccard_join.join_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.union(docs.where("doc_id IS NULL"))
+    """The document with the smallest id of each group of near copies; a document without an id stays.
+
+    A document is an id with a text: texts that share an id are grouped by what they hold. Of rows that agree in both, and
+    of texts of one group that share its smallest id, one stays by a fixed order.
+    """
+    hashed = docs.where("doc_id IS NOT NULL").withColumn("_h", F.xxhash64("text"))
+    # an id is its own key; only further texts of a reused one get hashes, so that the join sees ids in their order
+    several = hashed.groupBy("doc_id").agg(F.min("_h").alias("_first"), F.max("_h").alias("_last")).where("_first <> _last")
+    named = hashed.join(written(several.select("doc_id", "_first"), "reused"), "doc_id", "left").withColumn("_key", F.when(F.col("_h") == F.coalesce("_first", "_h"), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text")))
+    groups = jaccard_join.join_components(named, id_column="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = named.select("_key", "doc_id").distinct()
+    stay = groups.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("_least")).select("_least._key")
+    single = named.join(stay, "_key").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return single.select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

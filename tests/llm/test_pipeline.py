@@ -75,3 +75,11 @@ def test_stages_take_edge_rows_and_empty_tables(spark):
             assert out.columns == COLUMNS
     kept = corpus_pipeline.one_of_each_group(spark, odd, SF)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (True, 0), (True, 0)]
+
+
+def test_documents_that_reuse_an_id_stay_unless_near_copies(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join(f"v{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))]
+    rows = [(5, texts[0], "b"), (5, texts[0], "a"), (5, texts[2], "s"), (7, texts[1], "s"), (7, texts[3], "s"), (8, texts[3], "s"), (None, texts[0], "s")]
+    single = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert Counter(tuple(r) for r in single.collect()) == Counter([rows[1], rows[2], rows[4], rows[6]])
