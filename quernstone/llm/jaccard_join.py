@@ -7,30 +7,34 @@ Jaccard distance is a metric; documents link when it is at most r = 1 - threshol
    least D / 4 + 1 are the same in both. Each such class, with its content, is a region; a document lies in its regions
    of its level, and of the level above if a partner can be there. Regions of one document vanish; regions with the same
    members are one, with a weight. As linked documents share a weight of D / 4 + 1, each may leave its largest regions
-   up to a weight of D / 4.
-2. Pivots and Voronoi cells. Each document belongs to the cell of the earlier document with which it shares most small
-   regions, its pivot; every larger region elects a pivot of its own. Members are measured against their pivots exactly;
-   within r they are linked, and all of a ball around a pivot is connected through it, without pairs inside.
-3. Recursion. Larger regions that hold more than one component elect pivots again, outside their main component.
-4. Windows. What is still unconnected meets in small regions pair by pair, and in larger ones in tiles of two blocks, to
-   which members are replicated. Before a pair is measured, the triangle inequality bounds it: a set's counts in slices
-   of the hash range are its distances from the empty set within the slices, and the sum of their differences is at most
-   the pair's symmetric difference, which a link bounds by D.
-
+   up to a weight of D / 4. The rows of a region that a task meets often are dealt out by a salt.
+2. Pivots. Each document is measured against the earlier document with which it shares most small regions, and against
+   the pivot that every larger region elects. Within r of its pivot it is linked; a ball is connected through its pivot,
+   without pairs inside.
+3. Voronoi cells and windows. A larger region that still holds several components elects pivots outside its main one,
+   and all its members are measured against them. A member belongs to the cell of its nearest pivot; where another pivot
+   is at most 2 r further away, the triangle inequality lets a link cross the border, and the member is replicated into
+   that cell too. Every link inside the region therefore lies inside a cell.
+4. Recursion. Cells that are still large and hold several components are divided again in the same way. What is left is
+   dealt into tiles of two blocks. A pair is measured only if its distances to the cell's pivot differ by no more than
+   r, and if the counts of both sets in slices of the hash range (their distances from the empty set within the slices)
+   allow a link.
 5. Counts. Linked documents are in one component, so every link is found inside components: the points of a component are
    dealt into blocks, every two blocks meet in one tile, and a tile measures all its pairs exactly by counting common
    shingles. It returns one number per point, weighted by copies, so that no pairs are shuffled. Only ``join_links`` does.
 
-Identical sets are one point from the start. A shingle is the 64-bit hash of its words.
+Equal sets are one point from the start. A shingle is the 64-bit hash of its words.
 
 Defined results: words are split at ASCII white space and A-Z is lowered; fewer than five words are one shingle; a null or
-empty text is an empty set, linked with nothing; rows that share an id are one document; a null id is no document and
+empty text is an empty set, linked with nothing; an id with a set is a document, so that equal rows are one document and
+rows that share an id but differ in their sets are several, each linked by what it holds; a null id is no document and
 has a null component and null links; an empty table gives an empty result; columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +56,13 @@ COUNT_BLOCK = 1024
 COUNT_SHINGLES = 1_000_000
 #: Shingles of more points than this are counted by matrix products, rarer ones pair by pair.
 COMMON = 24
-#: Pivots are elected in so many rounds before tiles compare what is still unconnected.
-PIVOT_ROUNDS = 2
+#: Cells of more members elect so many pivots each and are divided, level after level; then tiles compare the rest.
+CELL = 64
+PIVOTS = 4
+LEVELS = 2
+#: A region with so many rows in one slice of a task is dealt out by salts from then on.
+HOT = 8
+SALTS = 64
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 _EDGES = np.arange(SLICES, dtype=np.uint64) << np.uint64(56)
@@ -128,64 +137,86 @@ def _slices(found: np.ndarray) -> bytes:
     return np.minimum(np.diff(np.searchsorted(found, _EDGES), append=len(found)), 255).astype(np.uint8).tobytes()
 
 
-def _region_rows(docs: DataFrame, percent: int, seen_most: int = 200_000) -> DataFrame:
-    """Rows (region, doc) and, with ``n`` set, one row (doc, mark, n, lowest, slices) per document, from one pass.
+def _point(found: np.ndarray) -> int:
+    """What stands for all documents with this set."""
+    return int(np.add.reduce(_mix(found ^ _C)) ^ _mix(np.array([len(found)], np.uint64) + _A)[0]) if len(found) else 0
+
+
+def _region_rows(docs: DataFrame, percent: int, seen_most: int = 200_000, hot_most: int = 50_000) -> DataFrame:
+    """Rows (region, salt, point, n) and, with ``doc`` set, one row per document, from one pass.
 
-    A task gives the regions of a set that it meets again only once, so that copies are folded before the shuffle.
+    A task gives the regions of a set that it meets again only once, so that copies are folded before the shuffle. Only
+    regions of which the task has given at least HOT rows without a salt get one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        hot = np.empty(0, np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                ids = batch.column(0).slice(at, 512).to_pylist()
-                keys, owners, marks, sizes, counts = [], [], [], [], []
-                for doc, text in zip(ids, batch.column(1).slice(at, 512).to_pylist(), strict=True):
+                ids = batch.column(0).slice(at, 512)
+                keys, points, sizes = [np.empty(0, np.uint64)], [], []
+                lengths = []
+                for text in batch.column(1).slice(at, 512).to_pylist():
                     found = shingles(text)
-                    mark = int(np.add.reduce(_mix(found ^ _C))) if len(found) else 0
-                    marks.append(mark)
+                    point = _point(found)
+                    points.append(point)
                     sizes.append(len(found))
-                    counts.append(_slices(found))
-                    if mark not in seen:
+                    if point not in seen:
                         if len(seen) >= seen_most:
                             seen.clear()
-                        seen.add(mark)
+                        seen.add(point)
                         keys.append(regions(found, percent))
-                        owners.append(np.full(len(keys[-1]), doc, np.int64))
-                own = np.array(ids, np.int64)
-                spread = _mix(own.view(np.uint64) ^ _EMPTY)
-                key = np.concatenate([*keys, spread]).view(np.int64)
-                count = len(key) - len(own)
-
-                def padded(values: list, kind: pa.DataType, count: int = count) -> pa.Array:
-                    return pa.concat_arrays([pa.nulls(count, kind), pa.array(values, kind)])
-
+                        lengths.append(len(keys[-1]))
+                    else:
+                        lengths.append(0)
+                own, n = np.array(points, np.uint64).view(np.int64), np.array(sizes, np.int64)
+                key = np.concatenate(keys)
+                salt = np.where(np.isin(key, hot), 1 + np.repeat(own, lengths) % SALTS, 0) if len(hot) else np.zeros(len(key), np.int64)
+                values, counts = np.unique(key[salt == 0], return_counts=True)
+                hot = np.concatenate([hot, values[counts >= HOT]])[-hot_most:]
+                spread = _mix(ids.to_numpy().view(np.uint64) ^ _EMPTY)
                 columns = [
-                    pa.array(key),
-                    pa.array(np.concatenate([*owners, own])),
-                    padded(np.array(marks, np.uint64).view(np.int64), pa.int64()),
-                    padded(sizes, pa.int64()),
-                    padded([shared_at_least(-(-n * percent // 100), percent) for n in sizes], pa.int64()),
-                    padded(counts, pa.binary()),
+                    pa.array(np.concatenate([key, spread]).view(np.int64)),
+                    pa.array(np.concatenate([salt, np.zeros(len(own), np.int64)])),
+                    pa.array(np.concatenate([np.repeat(own, lengths), own])),
+                    pa.array(np.concatenate([np.repeat(n, lengths), n])),
+                    pa.concat_arrays([pa.nulls(len(key), pa.int64()), ids]),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["region", "doc", "mark", "n", "lowest", "slices"])
+                yield pa.RecordBatch.from_arrays(columns, ["region", "salt", "point", "n", "doc"])
 
-    return docs.mapInArrow(run, "region long, doc long, mark long, n long, lowest long, slices binary")
+    return docs.mapInArrow(run, "region long, salt long, point long, n long, doc long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc, n, shingles) with the sorted hashes as a binary."""
+    """(doc, n, slices, shingles) of every text, ``doc`` being its point and ``shingles`` the sorted hashes as a binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 found = [shingles(t) for t in batch.column(1).slice(at, 512).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc", "n", "shingles"])
+                points = np.array([_point(s) for s in found], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(points), pa.array([len(s) for s in found], pa.int64()), pa.array([_slices(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
+                    ["doc", "n", "slices", "shingles"],
+                )
+
+    return docs.mapInArrow(run, "doc long, n long, slices binary, shingles binary")
 
-    return docs.mapInArrow(run, "doc long, n long, shingles binary")
 
+def _lowest(n: str, percent: int) -> Column:
+    """``shared_at_least`` of the smallest set that a set of ``n`` can link with."""
+    least = F.ceil(F.col(n) * percent / 100).cast("long")
+    most = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(least))) - 1
+    differ = F.least(F.floor(least * (100 - percent) / percent), F.floor((least + most) * (100 - percent) / (100 + percent)))
+    return (1 + F.floor(differ / 4)).cast("long")
 
-def _near(pairs: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
+
+def _ratio(percent: int, a: str, b: str) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that their slices allow to be links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,34 +226,33 @@ def _near(pairs: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= sizes * (100 - percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    brief = [briefs.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("slices").alias(f"s_{c}")) for c in "ab"]
-    sized = pairs.join(brief[0], "a").join(brief[1], "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    brief = [sets.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("slices").alias(f"s_{c}")) for c in "ab"]
+    sized = pairs.join(brief[0], "a").join(brief[1], "b").where(_ratio(percent, "n_a", "n_b"))
     return sized.select("a", "b", "s_a", "s_b", (F.col("n_a") + F.col("n_b")).alias("sizes")).mapInArrow(run, "a long, b long")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are links, each measured exactly."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common, total) of the pairs: the exact sizes of their intersection and union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            common, total = [], []
             for i in range(batch.num_rows):
                 x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                common = int((y[at] == x).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+                common.append(int((y[at] == x).sum()))
+                total.append(len(x) + len(y) - common[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
 
     whole = [sets.select(F.col("doc").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab"]
-    return pairs.join(whole[0], "a").join(whole[1], "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return pairs.join(whole[0], "a").join(whole[1], "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long, common long, total long")
 
 
-def _links(pairs: DataFrame, briefs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    return _measured(_near(pairs, briefs, percent), sets, percent)
+def _linking(measured: DataFrame, percent: int) -> DataFrame:
+    return measured.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
 
 
 def _parts(docs: DataFrame, labels: DataFrame, column: str, part: str) -> DataFrame:
@@ -230,40 +260,54 @@ def _parts(docs: DataFrame, labels: DataFrame, column: str, part: str) -> DataFr
     return docs.join(labels.withColumnRenamed("node", column), column, "left").withColumn(part, F.coalesce("component", column)).drop("component")
 
 
-def _open(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the regions that hold more than one component, with their ``part`` and the region's ``main`` one."""
-    labelled = _parts(large, labels, "doc", "part")
+def _open(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the cells that hold more than one component, with their ``part`` and the cell's ``main`` one and size."""
+    labelled = _parts(cells, labels, "doc", "part")
     by_part = labelled.groupBy("region", "part").agg(F.count(F.lit(1)).alias("n_part"))
     shape = by_part.groupBy("region").agg(F.sum("n_part").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("n_part", "part")).alias("main")).where("parts > 1")
     return written(labelled.join(shape, "region"), "open")
 
 
-def _ratio(percent: int, a: str, b: str) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
+def _order(draw: int) -> Column:
+    """An order of documents by hash; the same for all regions, so that those with common members elect the same."""
+    return F.struct(F.xxhash64("doc", F.lit(draw)), "doc")
 
-def _pivot_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """Each member with its region's pivot, which is elected outside the main component by a hash of the document.
 
-    One hash for all regions lets regions with common members elect the same pivot.
-    """
-    order = F.struct(F.xxhash64("doc", F.lit(1)), "doc")
-    pivots = open_.where("part <> main").groupBy("region").agg(F.min_by("doc", order).alias("b"), F.min_by("n", order).alias("n_b"), F.min_by("part", order).alias("part_b"))
-    faced = open_.join(pivots, "region").where((F.col("part") != F.col("part_b")) & _ratio(percent, "n", "n_b"))
+def _elected(large: DataFrame, percent: int) -> DataFrame:
+    """Each member of a larger region with the region's pivot."""
+    pivots = large.groupBy("region").agg(F.min_by("doc", _order(0)).alias("b"), F.min_by("n", _order(0)).alias("n_b"))
+    faced = large.join(pivots, "region").where((F.col("doc") != F.col("b")) & _ratio(percent, "n", "n_b"))
     return faced.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
 
 
-def _tile_pairs(open_: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in open regions that their slices allow to be links.
+def _divided(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The Voronoi cells of open cells, with boundary documents in all cells that their window reaches, and the links found.
 
-    A region's members are dealt into blocks and every two blocks meet in a tile of bounded size. A pair is looked at only
-    in the first region that both are in, which the tile reads off its members' lists of regions.
+    Distances are exact fractions of whole numbers, so the window is widened by less than any two can differ.
     """
+    drawn = cells.where("part <> main").groupBy("region").agg(F.array_distinct(F.array(*[F.min_by("doc", _order(draw)) for draw in range(PIVOTS)])).alias("pivots"))
+    faced = cells.select("region", "doc", "n").join(drawn.select("region", F.explode("pivots").alias("pivot")), "region")
+    measured = written(_measured(faced.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), sets).distinct(), "distances")
+    apart = measured.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("apart"))
+    placed = written(faced.join(apart, ["doc", "pivot"]), "faced")
+    home = placed.groupBy("region", "doc").agg(F.min("apart").alias("home"))
+    window = 2 * (100 - percent) / 100 + 1e-9
+    inside = placed.join(home, ["region", "doc"]).where(F.col("apart") <= F.col("home") + window)
+    return inside.select(F.xxhash64("region", "pivot").alias("region"), "doc", "n", "apart"), _linking(measured, percent).where("a <> b")
+
+
+def _tile_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in open cells that the cell's pivot and their slices allow to be links.
+
+    A cell's members are dealt into blocks and every two blocks meet in a tile of bounded size. A pair is looked at only
+    in the first cell that both are in, which the tile reads off its members' lists of cells.
+    """
+    window = (100 - percent) / 100 + 1e-9
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         region, low, high = (table[c][0].as_py() for c in ("region", "low", "high"))
-        docs, sizes, parts, blocks = (table[c].to_numpy() for c in ("doc", "n", "part", "block"))
+        docs, sizes, parts, blocks, apart = (table[c].to_numpy() for c in ("doc", "n", "part", "block", "apart"))
         lists = [np.array(x, np.int64) for x in table["regions"].to_pylist()]
         earlier = [x[x < region] for x in lists]
         names, at = np.unique(np.concatenate(earlier), return_inverse=True)
@@ -275,20 +319,20 @@ def _tile_pairs(open_: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
         for i in left.tolist():
             others = right[right > i] if low == high else right
             close = (parts[others] != parts[i]) & (np.minimum(sizes[others], sizes[i]) * 100 >= np.maximum(sizes[others], sizes[i]) * percent)
-            others = others[close]
+            others = others[close & (np.abs(apart[others] - apart[i]) <= window)]
             others = others[held[others] @ held[i] == 0]
-            apart = np.abs(counts[others] - counts[i]).sum(axis=1, dtype=np.int64)
-            near = others[apart * (100 + percent) <= (sizes[others] + sizes[i]) * (100 - percent)]
+            gaps = np.abs(counts[others] - counts[i]).sum(axis=1, dtype=np.int64)
+            near = others[gaps * (100 + percent) <= (sizes[others] + sizes[i]) * (100 - percent)]
             found.append(np.stack([np.minimum(docs[near], docs[i]), np.maximum(docs[near], docs[i])]))
         both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
 
     lists = open_.groupBy("doc").agg(F.collect_list("region").alias("regions"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = open_.join(briefs.select("doc", "slices"), "doc").join(lists, "doc").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(2)), blocks).cast("int"))
+    members = open_.join(sets.select("doc", "slices"), "doc").join(lists, "doc").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(2)), blocks).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiles = dealt.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "n", "part", "slices", "regions")
-    return tiles.groupBy("region", "low", "high").applyInArrow(run, "a long, b long")
+    tiles = dealt.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "n", "part", "apart", "slices", "regions")
+    return tiles.groupBy("region", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def _common(rows: np.ndarray, found: np.ndarray, points: int, left: int, right: int) -> np.ndarray:
@@ -365,11 +409,10 @@ def _linked(labels: DataFrame, sets: DataFrame, copies: DataFrame, percent: int)
 
     members = labels.select(F.col("node").alias("doc"), "component").union(labels.select("component", "component").distinct())
     whole = members.join(sets, "doc").join(copies, "doc")
-    # only components beyond one block, of which there are few: each has COUNT_BLOCK points or COUNT_SHINGLES shingles
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / COUNT_BLOCK), F.ceil(F.sum("n") / COUNT_SHINGLES)).cast("int").alias("blocks")
     sized = members.join(sets.select("doc", "n"), "doc").groupBy("component").agg(blocks).where("blocks > 1")
     count = F.coalesce("blocks", F.lit(1))
-    dealt = whole.join(F.broadcast(sized), "component", "left").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(3)), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    dealt = whole.join(sized, "component", "left").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(3)), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
     tile = ["component", "low", "high"]
     tiles = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "copies", "shingles")
     found = tiles.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "doc long, linked long")
@@ -380,23 +423,21 @@ def _joined(docs: DataFrame, percent: int, id_column: str, text_column: str, cou
     """doc_id, n_shingles and component_id of every row and, with ``count``, n_links."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
     named = texts.where("doc IS NOT NULL")
-    rows = _region_rows(named, percent)
-    rows = written(rows.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("region"))).where("shared > 1 OR n IS NOT NULL").drop("shared"), "regions")
-
-    owners = rows.where("n IS NOT NULL")
-    points = owners.where("n > 0").groupBy("mark", "n").agg(F.min("doc").alias("point"))
-    placed = written(owners.where("n > 0").select("doc", "mark", "n").join(points, ["mark", "n"]).select("doc", "n", "point"), "points")
-    members = rows.where("n IS NULL").join(placed.select("doc", "point").distinct(), "doc").select("region", F.col("point").alias("doc")).distinct()
-    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("first"), F.bit_xor(F.xxhash64("doc")).alias("who")).where("size > 1")
-    alike = members.join(sizes, "region").select(F.xxhash64("who", "size", "first").alias("region"), "doc", "size")
-    sized = owners.select("doc", "n", "lowest").dropDuplicates(["doc"])
-    weighed = alike.groupBy("region", "doc", "size").agg(F.count(F.lit(1)).alias("weight")).join(sized, "doc")
-    briefs = owners.select("doc", "n", "slices").dropDuplicates(["doc"])
+    met = F.count(F.lit(1)).over(Window.partitionBy("region", "salt"))
+    rows = written(_region_rows(named, percent).withColumn("met", met).where("met > 1 OR salt > 0 OR doc IS NOT NULL").drop("met", "salt"), "regions")
+    owners = rows.where("doc IS NOT NULL").select("doc", "point", "n")
+    points = written(owners.where("n > 0").distinct().groupBy("point").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies")), "points")
+
+    # copies of a set from different tasks may stand twice in a region, which only lets their documents leave less
+    members = rows.where("doc IS NULL").select("region", F.col("point").alias("doc"), "n")
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("first"), F.max("doc").alias("last"), F.bit_xor(F.xxhash64("doc")).alias("who")).where("first <> last")
+    alike = members.join(sizes, "region").select(F.xxhash64("who", "size", "first", "last").alias("region"), "doc", "n", "size")
+    weighed = alike.groupBy("region", "doc", "n", "size").agg(F.count(F.lit(1)).alias("weight"))
 
     # a link shares regions of a total weight of at least `lowest`, so its smallest shared region is never among the
     # largest regions of either side that weigh less together; those are left out, and documents with too few altogether
     largest_first = Window.partitionBy("doc").orderBy(F.col("size").desc(), F.col("region")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = written(weighed.withColumn("reached", F.sum("weight").over(largest_first)).where("reached >= lowest").select("region", "doc", "n", "weight"), "kept")
+    kept = written(weighed.withColumn("reached", F.sum("weight").over(largest_first)).where(F.col("reached") >= _lowest("n", percent)).select("region", "doc", "n", "weight"), "kept")
     fewer = kept.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     active = kept.join(fewer, "region")
     small = active.where(F.col("size") <= SMALL_REGION)
@@ -404,40 +445,44 @@ def _joined(docs: DataFrame, percent: int, id_column: str, text_column: str, cou
     sides = [small.select("region", "weight", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "n")]) for x in "ab"]
     met = sides[0].join(sides[1].drop("weight"), "region").where((F.col("doc_a") < F.col("doc_b")) & _ratio(percent, "n_a", "n_b"))
     pairs = written(met.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.sum("weight").alias("weight")), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).union(large.select("doc")).distinct()
-    sets = written(_sets(named.join(wanted, "doc").select("doc", "text")), "sets")
-
-    # cells: every document and the pivot it shares most with; then what pivots and small regions left apart
-    cells = pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("a")).select("a", "b")
-    nothing = docs.sparkSession.createDataFrame([], "node long, component long")
-    open_ = _open(large, nothing)
-    links = cut(_links(cells.union(_pivot_pairs(open_, percent)).distinct(), briefs, sets, percent))
-    for turn in range(1, PIVOT_ROUNDS):
-        labels = cut(components(links))
-        open_ = _open(large, labels)
-        fresh = _pivot_pairs(open_, percent)
-        if turn == 1:
-            apart = _parts(_parts(pairs.join(cells, ["a", "b"], "left_anti").select("a", "b"), labels, "a", "part_a"), labels, "b", "part_b")
-            fresh = fresh.union(apart.where("part_a <> part_b").select("a", "b")).distinct()
-        links = cut(links.union(_links(fresh, briefs, sets, percent)))
-    labels = cut(components(links))
-    open_ = _open(large, labels)
-    labels = components(cut(links.union(_measured(_tile_pairs(open_, briefs, percent), sets, percent))))
+    wanted = pairs.select(F.col("a").alias("point")).union(pairs.select(F.col("b").alias("point"))).union(large.select(F.col("doc").alias("point"))).distinct()
+    sets = written(_sets(named.join(wanted.join(points, "point").select(F.col("least").alias("doc")).distinct(), "doc").select("doc", "text")), "sets")
 
-    shown = [F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")]
-    named_rows = placed.join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("component_id", F.coalesce("component", "point"))
+    # every document and the pivot it shares most with; then what pivots and small regions left apart
+    pivots = pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("a")).select("a", "b")
+    links = cut(_linking(_measured(_near(pivots.union(_elected(large, percent)).distinct(), sets, percent), sets), percent))
+    labels = cut(components(links))
+    apart = _parts(_parts(pairs.join(pivots, ["a", "b"], "left_anti").select("a", "b"), labels, "a", "part_a"), labels, "b", "part_b")
+    links = cut(links.union(_linking(_measured(_near(apart.where("part_a <> part_b").select("a", "b"), sets, percent), sets), percent)))
+    labels = cut(components(links))
+    cells, left = large.withColumn("apart", F.lit(0.0)), []
+    for level in range(LEVELS + 1):
+        open_ = _open(cells, labels)
+        if open_.isEmpty():
+            break
+        left.append((open_.where(F.col("size") <= CELL) if level < LEVELS else open_).select(cells.columns))
+        if level < LEVELS:
+            inside, found = _divided(open_.where(F.col("size") > CELL), sets, percent)
+            cells, links = written(inside, "cells"), cut(links.union(found))
+            labels = cut(components(links))
+    if left:
+        still = _open(reduce(DataFrame.union, left), labels)
+        labels = cut(components(cut(links.union(_linking(_measured(_tile_pairs(still, sets, percent), sets), percent)))))
+
+    grouped = points.join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("group", F.coalesce("component", "point"))
+    least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    known = grouped.join(least, "group").select("point", "copies", "component_id")
+    shown = [F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component_id")]
     empty = owners.where("n = 0").withColumn("component_id", F.col("doc"))
-    unnamed = _sets(texts.where("doc IS NULL")).withColumn("component_id", F.lit(None).cast("long"))
-    shown.append(F.col("component_id"))
+    unnamed = _sets(texts.where("doc IS NULL")).select(F.lit(None).cast("long").alias("doc"), "n").withColumn("component_id", F.lit(None).cast("long"))
     if count:
-        copies = written(placed.select("doc", "point").distinct().groupBy("point").agg(F.count(F.lit(1)).alias("copies")).withColumnRenamed("point", "doc"), "copies")
-        linked = _linked(labels, sets, copies, percent)
-        reached = copies.join(linked, "doc", "left").select(F.col("doc").alias("point"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-        named_rows = named_rows.join(reached, "point")
+        linked = _linked(labels, sets, points.select(F.col("point").alias("doc"), "copies"), percent)
+        known = known.join(linked.withColumnRenamed("doc", "point"), "point", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
         empty = empty.withColumn("n_links", F.lit(0).cast("long"))
         unnamed = unnamed.withColumn("n_links", F.lit(None).cast("long"))
         shown.append(F.col("n_links"))
-    return named_rows.select(*shown).union(empty.select(*shown)).union(unnamed.select(*shown))
+    full = owners.where("n > 0").join(known, "point")
+    return full.select(*shown).union(empty.select(*shown)).union(unnamed.select(*shown))
 
 
 def join_components(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -451,3 +496,22 @@ def join_links(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", te
     Every link counts, those between copies of one text included.
     """
     return _joined(docs, percent, id_column, text_column, True)
+
+
+#: DuckDB, over documents: every pair that shares a shingle, then all that links reach.
+ORACLE = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), held AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS s FROM texts WHERE len(w) > 0
+), sizes AS MATERIALIZED (
+  SELECT t.doc_id, count(h.s) AS n FROM texts t LEFT JOIN held h ON h.doc_id = t.doc_id GROUP BY t.doc_id
+), links AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM held x JOIN held y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN sizes i ON i.doc_id = p.a JOIN sizes j ON j.doc_id = p.b WHERE 100 * p.n >= 80 * (i.n + j.n - p.n)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS least FROM sizes UNION SELECT l.b, r.least FROM reach r JOIN links l ON l.a = r.node
+)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, r.least AS component_id, coalesce(c.n, 0) AS n_links
+FROM sizes s JOIN (SELECT node, min(least) AS least FROM reach GROUP BY node) r ON r.node = s.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = s.doc_id
+"""

@@ -63,7 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE, "op6_exact_topk": TOPK, "op7_license_scan": license_scan.ORACLE}
+    return {"op1_ngram_jaccard_join": jaccard_join.ORACLE, "op2_quality_rules": quality_rules.ORACLE, "op6_exact_topk": TOPK, "op7_license_scan": license_scan.ORACLE}
 
 
 #: DuckDB, over embeddings.

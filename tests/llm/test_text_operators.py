@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quernstone.llm import bpe, jaccard_join, license_scan, quality_rules, token_files
@@ -74,8 +75,9 @@ def test_jaccard_join_matches_all_pairs(spark, seed):
 
 
 def test_jaccard_join_large_regions(spark, monkeypatch):
-    """Regions beyond the small size go through elected pivots; a chain of near copies stays one component."""
-    monkeypatch.setattr(jaccard_join, "SMALL_REGION", 3)
+    """Regions beyond the small size go through elected pivots, Voronoi cells, windows, recursion and tiles of blocks."""
+    for name, value in (("SMALL_REGION", 3), ("CELL", 4), ("PIVOTS", 2), ("BLOCK", 5), ("HOT", 2), ("SALTS", 3)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(9)
     words = [f"v{i}" for i in range(60)]
     rows = []
@@ -87,6 +89,41 @@ def test_jaccard_join_large_regions(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_jaccard_join_cells_hold_every_link(spark):
+    """Two members within the radius meet in a cell, whichever pivots are nearest to them."""
+    rng = random.Random(4)
+    words = [f"v{i}" for i in range(40)]
+    rows = []
+    for k in range(60):
+        rows.append((k, " ".join(words), "s"))
+        words[rng.randrange(len(words))] = f"x{k}"
+    sets = jaccard_join._sets(frame(spark, rows).select("doc_id", "text")).cache()
+    points = sorted(r.doc for r in sets.collect())
+    cells = sets.select(F.lit(7).cast("long").alias("region"), "doc", "n", F.col("doc").alias("part"), F.lit(points[0]).alias("main"))
+    divided, links = jaccard_join._divided(cells, sets, 80)
+    held = defaultdict(set)
+    for r in divided.collect():
+        held[r.doc].add(r.region)
+    hashes = {r.doc: set(np.frombuffer(r.shingles, np.uint64).tolist()) for r in sets.collect()}
+    linked = [(a, b) for a in points for b in points if a < b and 100 * len(hashes[a] & hashes[b]) >= 80 * len(hashes[a] | hashes[b])]
+    assert linked and all(held[a] & held[b] for a, b in linked)
+    assert len({c for x in held.values() for c in x}) > 1 and any(len(x) == 1 for x in held.values()) and any(len(x) > 1 for x in held.values())
+    assert {tuple(sorted(r)) for r in links.collect()} <= set(linked)
+
+
+def test_jaccard_join_least_shared_weight_in_columns(spark):
+    sizes = [*range(1, 300), 1000, 4095, 4096, 100_000]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", jaccard_join._lowest("n", 80).alias("x")).collect()
+    assert {r.n: r.x for r in got} == {n: jaccard_join.shared_at_least(-(-n * 80 // 100), 80) for n in sizes}
+
+
+def test_jaccard_join_ids_with_two_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(5, a, "s"), (5, b, "s"), (1, a, "s"), (2, b, "s"), (9, a + " more", "s")]
+    got = sorted(tuple(r) for r in jaccard_join.join_links(frame(spark, rows)).collect())
+    assert got == [(1, 26, 1, 2), (2, 26, 2, 1), (5, 26, 1, 2), (5, 26, 2, 1), (9, 27, 1, 2)]
+
+
 def test_jaccard_join_threshold_edges():
     """A pair of exactly 0.8 links, one just below does not; linked sets share regions as promised."""
     rng = np.random.default_rng(3)
