@@ -11,14 +11,17 @@ Jaccard distance is a metric; documents link when it is at most r = 1 - threshol
 2. Pivots. Each document is measured against the earlier document with which it shares most small regions, and against
    the pivot that every larger region elects. Within r of its pivot it is linked; a ball is connected through its pivot,
    without pairs inside.
-3. Voronoi cells and windows. A larger region that still holds several components elects pivots outside its main one,
-   and all its members are measured against them. A member belongs to the cell of its nearest pivot; where another pivot
-   is at most 2 r further away, the triangle inequality lets a link cross the border, and the member is replicated into
-   that cell too. Every link inside the region therefore lies inside a cell.
-4. Recursion. Cells that are still large and hold several components are divided again in the same way. What is left is
-   dealt into tiles of two blocks. A pair is measured only if its distances to the cell's pivot differ by no more than
-   r, and if the counts of both sets in slices of the hash range (their distances from the empty set within the slices)
-   allow a link.
+3. Voronoi cells and windows. A larger region that still holds several components elects pivots outside its main one.
+   A member belongs to the cell of its nearest pivot if that is within r, otherwise to the region's outer cell. By the
+   triangle inequality a link crosses a border only within a window: a member is replicated into the cell of every pivot
+   within 2 r that is at most 2 r further away than its own. Every link inside the region therefore lies inside a cell,
+   between members of which one at least is at home there. Those at home in a pivot's cell are connected through it, so
+   only documents of other components are replicated, and only what lies within r of their distances stays beside them.
+   Only distances within 2 r count, and the counts of both sets in slices of the hash range (their distances from the
+   empty set within the slices) bound a distance from below, so that few sets need to be measured exactly.
+4. Recursion. Cells that are still large and hold several components, above all outer ones, are divided again in the same
+   way. What is left is dealt into tiles of two blocks. A pair is measured only if its distances to the cell's pivot
+   differ by no more than r and if its slices allow a link.
 5. Counts. Linked documents are in one component, so every link is found inside components: the points of a component are
    dealt into blocks, every two blocks meet in one tile, and a tile measures all its pairs exactly by counting common
    shingles. It returns one number per point, weighted by copies, so that no pairs are shuffled. Only ``join_links`` does.
@@ -57,12 +60,14 @@ COUNT_SHINGLES = 1_000_000
 #: Shingles of more points than this are counted by matrix products, rarer ones pair by pair.
 COMMON = 24
 #: Cells of more members elect so many pivots each and are divided, level after level; then tiles compare the rest.
-CELL = 64
+CELL = 1024
 PIVOTS = 4
-LEVELS = 2
+LEVELS = 3
 #: A region with so many rows in one slice of a task is dealt out by salts from then on.
 HOT = 8
 SALTS = 64
+#: What windows are widened by against rounding.
+SLACK = 1e-9
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 _EDGES = np.arange(SLICES, dtype=np.uint64) << np.uint64(56)
@@ -212,12 +217,24 @@ def _lowest(n: str, percent: int) -> Column:
     return (1 + F.floor(differ / 4)).cast("long")
 
 
+def _reach(percent: int) -> float:
+    return (100 - percent) / 100
+
+
 def _ratio(percent: int, a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _paired(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """The pairs with the columns of both sides. Written pairs have a size that Spark knows, so that it sends few pairs to
+    the sets instead of the sets to the pairs, and of the second side only what occurs is sent."""
+    pairs = written(pairs, "asked")
+    first, second = (sets.select(F.col("doc").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]) for c in "ab")
+    return first.join(pairs, "a").join(second.join(pairs.select("b").distinct(), "b", "left_semi"), "b")
+
+
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that their slices allow to be links."""
+    """Pairs (a, b) whose similarity can be ``percent`` by their sizes and slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,9 +243,8 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= sizes * (100 - percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    brief = [sets.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("slices").alias(f"s_{c}")) for c in "ab"]
-    sized = pairs.join(brief[0], "a").join(brief[1], "b").where(_ratio(percent, "n_a", "n_b"))
-    return sized.select("a", "b", "s_a", "s_b", (F.col("n_a") + F.col("n_b")).alias("sizes")).mapInArrow(run, "a long, b long")
+    sized = _paired(pairs, sets, "n", "slices").where(_ratio(percent, "n_a", "n_b"))
+    return sized.select("a", "b", "slices_a", "slices_b", (F.col("n_a") + F.col("n_b")).alias("sizes")).mapInArrow(run, "a long, b long")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -247,8 +263,7 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 total.append(len(x) + len(y) - common[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
 
-    whole = [sets.select(F.col("doc").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab"]
-    return pairs.join(whole[0], "a").join(whole[1], "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long, common long, total long")
+    return _paired(pairs, sets, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long, common long, total long")
 
 
 def _linking(measured: DataFrame, percent: int) -> DataFrame:
@@ -261,11 +276,15 @@ def _parts(docs: DataFrame, labels: DataFrame, column: str, part: str) -> DataFr
 
 
 def _open(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the cells that hold more than one component, with their ``part`` and the cell's ``main`` one and size."""
+    """Members of the cells that hold more than one component, with their ``part`` and the cell's ``main`` one and size.
+
+    Cells get short names, as lists of them are sent about.
+    """
     labelled = _parts(cells, labels, "doc", "part")
     by_part = labelled.groupBy("region", "part").agg(F.count(F.lit(1)).alias("n_part"))
     shape = by_part.groupBy("region").agg(F.sum("n_part").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("n_part", "part")).alias("main")).where("parts > 1")
-    return written(labelled.join(shape, "region"), "open")
+    named = written(shape.withColumn("name", F.monotonically_increasing_id()), "shapes")
+    return written(labelled.join(named, "region").drop("region").withColumnRenamed("name", "region"), "open")
 
 
 def _order(draw: int) -> Column:
@@ -280,35 +299,50 @@ def _elected(large: DataFrame, percent: int) -> DataFrame:
     return faced.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
 
 
-def _divided(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The Voronoi cells of open cells, with boundary documents in all cells that their window reaches, and the links found.
+def _faced(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members of open cells with every elected pivot within 2 r (region, doc, n, pivot, apart), and the links found.
 
-    Distances are exact fractions of whole numbers, so the window is widened by less than any two can differ.
+    Distances are quotients of whole numbers; windows are widened by SLACK, which is less than any two can differ.
     """
     drawn = cells.where("part <> main").groupBy("region").agg(F.array_distinct(F.array(*[F.min_by("doc", _order(draw)) for draw in range(PIVOTS)])).alias("pivots"))
-    faced = cells.select("region", "doc", "n").join(drawn.select("region", F.explode("pivots").alias("pivot")), "region")
-    measured = written(_measured(faced.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), sets).distinct(), "distances")
+    faced = written(cells.select("region", "doc", "n").join(drawn.select("region", F.explode("pivots").alias("pivot")), "region"), "faced")
+    near = _near(faced.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), sets, 2 * percent - 100)
+    measured = written(_measured(near, sets).distinct(), "distances")
     apart = measured.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("apart"))
-    placed = written(faced.join(apart, ["doc", "pivot"]), "faced")
-    home = placed.groupBy("region", "doc").agg(F.min("apart").alias("home"))
-    window = 2 * (100 - percent) / 100 + 1e-9
-    inside = placed.join(home, ["region", "doc"]).where(F.col("apart") <= F.col("home") + window)
-    return inside.select(F.xxhash64("region", "pivot").alias("region"), "doc", "n", "apart"), _linking(measured, percent).where("a <> b")
+    placed = faced.join(apart.where(F.col("apart") <= 2 * _reach(percent) + SLACK), ["doc", "pivot"])
+    return placed, _linking(measured, percent).where("a <> b")
+
+
+def _divided(cells: DataFrame, placed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The Voronoi cells of open cells: (region, doc, n, apart, home), with boundary documents wherever their window reaches.
+
+    ``apart`` is the distance to the cell's pivot, 0 in outer cells, which have none.
+    """
+    reach = _reach(percent)
+    nearest = placed.groupBy("region", "doc").agg(F.min("apart").alias("nearest"))
+    parts = _parts(_parts(placed.join(nearest, ["region", "doc"]), labels, "doc", "part"), labels, "pivot", "part_pivot")
+    home = (F.col("nearest") <= reach + SLACK) & (F.col("apart") == F.col("nearest"))
+    window = (F.col("nearest") > reach + SLACK) | (F.col("apart") <= F.col("nearest") + 2 * reach + SLACK)
+    inside = written(parts.withColumn("home", home).where(F.col("home") | (window & (F.col("part") != F.col("part_pivot")))), "inside")
+    border = inside.where("NOT home").groupBy("region", "pivot").agg(F.min("apart").alias("border"))
+    reached = inside.join(border, ["region", "pivot"]).where(~F.col("home") | (F.col("apart") >= F.col("border") - reach - SLACK))
+    outer = cells.select("region", "doc", "n").join(nearest.where(F.col("nearest") <= reach + SLACK).select("region", "doc"), ["region", "doc"], "left_anti")
+    return reached.select(F.xxhash64("region", "pivot").alias("region"), "doc", "n", "apart", "home").union(outer.select(F.xxhash64("region", F.lit("outer")).alias("region"), "doc", "n", F.lit(0.0), F.lit(True)))
 
 
 def _tile_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in open cells that the cell's pivot and their slices allow to be links.
 
-    A cell's members are dealt into blocks and every two blocks meet in a tile of bounded size. A pair is looked at only
-    in the first cell that both are in, which the tile reads off its members' lists of cells.
+    A cell's members are dealt into blocks and every two blocks meet in a tile of bounded size. One of a pair must be at
+    home; a pair at home in several cells is looked at only in the first, which the tile reads off its members' lists.
     """
-    window = (100 - percent) / 100 + 1e-9
+    window = _reach(percent) + SLACK
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         region, low, high = (table[c][0].as_py() for c in ("region", "low", "high"))
-        docs, sizes, parts, blocks, apart = (table[c].to_numpy() for c in ("doc", "n", "part", "block", "apart"))
-        lists = [np.array(x, np.int64) for x in table["regions"].to_pylist()]
+        docs, sizes, parts, blocks, apart, home = (table[c].to_numpy() for c in ("doc", "n", "part", "block", "apart", "home"))
+        lists = [np.array(x or [], np.int64) if at_home else np.empty(0, np.int64) for x, at_home in zip(table["regions"].to_pylist(), home, strict=True)]
         earlier = [x[x < region] for x in lists]
         names, at = np.unique(np.concatenate(earlier), return_inverse=True)
         held = np.zeros((len(docs), max(len(names), 1)), np.float32)
@@ -319,7 +353,7 @@ def _tile_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for i in left.tolist():
             others = right[right > i] if low == high else right
             close = (parts[others] != parts[i]) & (np.minimum(sizes[others], sizes[i]) * 100 >= np.maximum(sizes[others], sizes[i]) * percent)
-            others = others[close & (np.abs(apart[others] - apart[i]) <= window)]
+            others = others[close & (home[others] | home[i]) & (np.abs(apart[others] - apart[i]) <= window)]
             others = others[held[others] @ held[i] == 0]
             gaps = np.abs(counts[others] - counts[i]).sum(axis=1, dtype=np.int64)
             near = others[gaps * (100 + percent) <= (sizes[others] + sizes[i]) * (100 - percent)]
@@ -327,11 +361,11 @@ def _tile_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
 
-    lists = open_.groupBy("doc").agg(F.collect_list("region").alias("regions"))
+    lists = open_.where("home").groupBy("doc").agg(F.collect_list("region").alias("regions"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = open_.join(sets.select("doc", "slices"), "doc").join(lists, "doc").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(2)), blocks).cast("int"))
+    members = open_.join(sets.select("doc", "slices"), "doc").join(lists, "doc", "left").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(2)), blocks).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiles = dealt.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "n", "part", "apart", "slices", "regions")
+    tiles = dealt.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "n", "part", "apart", "home", "slices", "regions")
     return tiles.groupBy("region", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -455,16 +489,20 @@ def _joined(docs: DataFrame, percent: int, id_column: str, text_column: str, cou
     apart = _parts(_parts(pairs.join(pivots, ["a", "b"], "left_anti").select("a", "b"), labels, "a", "part_a"), labels, "b", "part_b")
     links = cut(links.union(_linking(_measured(_near(apart.where("part_a <> part_b").select("a", "b"), sets, percent), sets), percent)))
     labels = cut(components(links))
-    cells, left = large.withColumn("apart", F.lit(0.0)), []
+    cells, left = large.withColumns({"apart": F.lit(0.0), "home": F.lit(True)}), []
     for level in range(LEVELS + 1):
         open_ = _open(cells, labels)
         if open_.isEmpty():
             break
-        left.append((open_.where(F.col("size") <= CELL) if level < LEVELS else open_).select(cells.columns))
+        left.append((open_.where(F.col("size") <= CELL) if level < LEVELS else open_).select(F.xxhash64("region", F.lit(level)).alias("region"), *cells.columns[1:]))
         if level < LEVELS:
-            inside, found = _divided(open_.where(F.col("size") > CELL), sets, percent)
-            cells, links = written(inside, "cells"), cut(links.union(found))
+            wide = open_.where(F.col("size") > CELL)
+            if wide.isEmpty():
+                break
+            placed, found = _faced(wide, sets, percent)
+            links = cut(links.union(found))
             labels = cut(components(links))
+            cells = written(_divided(wide, placed, labels, percent), "cells")
     if left:
         still = _open(reduce(DataFrame.union, left), labels)
         labels = cut(components(cut(links.union(_linking(_measured(_tile_pairs(still, sets, percent), sets), percent)))))
