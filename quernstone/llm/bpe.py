@@ -27,7 +27,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: The pre-tokenizer's pattern, and the visible characters that stand for the 256 bytes.
+#: The pre-tokenizer's pattern as tokenizer files state it and as this module applies it, and the visible
+#: characters that stand for the 256 bytes.
+STATED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in set(_SHOWN)]
@@ -57,6 +59,13 @@ def pieces(chunk: str, path: str) -> list[str]:
     return PIECE.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
 
 
+def refuse_other_cuts(spec: dict, path: str) -> None:
+    """An error for a tokenizer file that cuts or marks words in another way than this package does."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    if (steps[0].get("pattern") or {}).get("Regex") != STATED or spec["model"].get("end_of_word_suffix") != "</w>":
+        raise ValueError(f"{path} cuts texts in another way than this encoder")
+
+
 class WordBpe:
     """A word-end BPE vocabulary read from a tokenizer file.
 
@@ -67,6 +76,7 @@ class WordBpe:
     def __init__(self, path: str, cache_words: int = 240_000) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        refuse_other_cuts(spec, path)
         self._path = path
         model = spec["model"]
         vocabulary: dict[str, int] = model["vocab"]
@@ -223,7 +233,7 @@ class WordBpe:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self._special_pattern is None or "<|" not in text:
+        if self._special_pattern is None or not any(token in text for token in self.special):
             return self._plain(text)
         parts = self._special_pattern.split(text)
         return b"".join(np.array([self.special[p]], "<u4").tobytes() if i % 2 else self._plain(p) for i, p in enumerate(parts))

@@ -19,8 +19,8 @@ Jaccard distance is a metric; documents link when it is at most r = 1 - threshol
    only documents of other components are replicated, and only what lies within r of their distances stays beside them.
    Only distances within 2 r count, and the counts of both sets in slices of the hash range (their distances from the
    empty set within the slices) bound a distance from below, so that few sets need to be measured exactly.
-4. Recursion. Cells that are still large and hold several components, above all outer ones, are divided again in the same
-   way. What is left is dealt into tiles of two blocks. A pair is measured only if its distances to the cell's pivot
+4. Recursion. Cells that are still large and hold several components are divided again in the same way, as long as that
+   at least halves them. What is left is dealt into tiles of two blocks. A pair is measured only if its distances to the cell's pivot
    differ by no more than r and if its slices allow a link.
 5. Counts. Linked documents are in one component, so every link is found inside components: the points of a component are
    dealt into blocks, every two blocks meet in one tile, and a tile measures all its pairs exactly by counting common
@@ -314,9 +314,9 @@ def _faced(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
 
 
 def _divided(cells: DataFrame, placed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """The Voronoi cells of open cells: (region, doc, n, apart, home), with boundary documents wherever their window reaches.
+    """The Voronoi cells of open cells, with boundary documents wherever their window reaches: (region, doc, n, apart, home, whole).
 
-    ``apart`` is the distance to the cell's pivot, 0 in outer cells, which have none.
+    ``apart`` is the distance to the cell's pivot, 0 in outer cells, which have none; ``whole`` is the size before.
     """
     reach = _reach(percent)
     nearest = placed.groupBy("region", "doc").agg(F.min("apart").alias("nearest"))
@@ -327,7 +327,9 @@ def _divided(cells: DataFrame, placed: DataFrame, labels: DataFrame, percent: in
     border = inside.where("NOT home").groupBy("region", "pivot").agg(F.min("apart").alias("border"))
     reached = inside.join(border, ["region", "pivot"]).where(~F.col("home") | (F.col("apart") >= F.col("border") - reach - SLACK))
     outer = cells.select("region", "doc", "n").join(nearest.where(F.col("nearest") <= reach + SLACK).select("region", "doc"), ["region", "doc"], "left_anti")
-    return reached.select(F.xxhash64("region", "pivot").alias("region"), "doc", "n", "apart", "home").union(outer.select(F.xxhash64("region", F.lit("outer")).alias("region"), "doc", "n", F.lit(0.0), F.lit(True)))
+    both = reached.select("region", F.xxhash64("region", "pivot").alias("cell"), "doc", "n", "apart", "home").union(outer.select("region", F.xxhash64("region", F.lit("outer")), "doc", "n", F.lit(0.0), F.lit(True)))
+    before = cells.select("region", F.col("size").alias("whole")).distinct()
+    return both.join(before, "region").select(F.col("cell").alias("region"), "doc", "n", "apart", "home", "whole")
 
 
 def _tile_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -489,20 +491,21 @@ def _joined(docs: DataFrame, percent: int, id_column: str, text_column: str, cou
     apart = _parts(_parts(pairs.join(pivots, ["a", "b"], "left_anti").select("a", "b"), labels, "a", "part_a"), labels, "b", "part_b")
     links = cut(links.union(_linking(_measured(_near(apart.where("part_a <> part_b").select("a", "b"), sets, percent), sets), percent)))
     labels = cut(components(links))
-    cells, left = large.withColumns({"apart": F.lit(0.0), "home": F.lit(True)}), []
+    cells, left = large.withColumns({"apart": F.lit(0.0), "home": F.lit(True), "whole": F.lit(2**62)}), []
     for level in range(LEVELS + 1):
         open_ = _open(cells, labels)
         if open_.isEmpty():
             break
-        left.append((open_.where(F.col("size") <= CELL) if level < LEVELS else open_).select(F.xxhash64("region", F.lit(level)).alias("region"), *cells.columns[1:]))
-        if level < LEVELS:
-            wide = open_.where(F.col("size") > CELL)
-            if wide.isEmpty():
-                break
-            placed, found = _faced(wide, sets, percent)
-            links = cut(links.union(found))
-            labels = cut(components(links))
-            cells = written(_divided(wide, placed, labels, percent), "cells")
+        # a cell that kept more than half of its region is not divided again, as its members are all far apart
+        divides = (F.col("size") > CELL) & (2 * F.col("size") <= F.col("whole")) if level < LEVELS else F.lit(False)
+        left.append(open_.where(~divides).select(F.xxhash64("region", F.lit(level)).alias("region"), *cells.columns[1:]))
+        wide = open_.where(divides)
+        if wide.isEmpty():
+            break
+        placed, found = _faced(wide, sets, percent)
+        links = cut(links.union(found))
+        labels = cut(components(links))
+        cells = written(_divided(wide, placed, labels, percent), "cells")
     if left:
         still = _open(reduce(DataFrame.union, left), labels)
         labels = cut(components(cut(links.union(_linking(_measured(_tile_pairs(still, sets, percent), sets), percent)))))

@@ -11,16 +11,18 @@ FIT_ROWS = 5000
 
 
 def split_of(id_column: str, folds: int) -> Column:
-    """crc32 of the id as text, modulo ``folds``."""
-    return F.crc32(F.col(id_column).cast("string").cast("binary")) % folds
+    """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text") -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most ``rows`` documents, those with the smallest hashes among ``usable`` labelled ids.
 
     The ids are chosen from the labels alone, so that only chosen texts reach the driver; being at most ``rows``, they
-    may be broadcast.
+    may be broadcast. Of an id's several labels the smallest counts, and of its texts the first; both are picked by
+    aggregation, so that an id comes to the driver once, however often it is repeated.
     """
-    chosen = labels.where(usable & F.col(label).isin(0, 1)).select(id_column, F.col(label).cast("int").alias("_y")).dropDuplicates([id_column]).orderBy(F.xxhash64(id_column), id_column).limit(rows)
-    found = docs.select(id_column, text_column).join(F.broadcast(chosen), id_column).toPandas().sort_values([id_column, text_column], kind="stable").drop_duplicates(id_column)
-    return [t or "" for t in found[text_column]], found["_y"].to_numpy(np.int64)
+    chosen = labels.where(usable & F.col(label).isin(0, 1)).select(id_column, F.col(label).cast("int").alias("_y")).groupBy(id_column).agg(F.min("_y").alias("_y")).orderBy(F.xxhash64(id_column), id_column).limit(rows)
+    each = docs.select(id_column, text_column).join(F.broadcast(chosen), id_column).groupBy(id_column, "_y").agg(F.min(text_column).alias("_text"))
+    found = each.toPandas().sort_values(id_column, kind="stable")
+    return [t or "" for t in found["_text"]], found["_y"].to_numpy(np.int64)

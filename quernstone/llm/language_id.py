@@ -28,16 +28,48 @@ from quernstone.session import written
 #: At most so many documents are fitted on, shared out among the languages, and trigrams fall into so many buckets.
 FIT_DOCS = 4000
 BUCKETS = 1 << 15
-#: A text's evidence counts as that of so many independent trigrams at most.
+#: A text's evidence counts as that of so many independent trigrams at most: the mean over all its trigrams, however many,
+#: is raised to this power, because neighbouring trigrams repeat one another and a text's odds would grow without end.
 MOST_TRIGRAMS = 60.0
+_LOWER = {upper: upper + 32 for upper in range(65, 91)}
 #: Pages that a parent's prior counts as.
 STRENGTH = 5.0
-_TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_HIDDEN = re.compile(r"(?i)(script|style)\b")
 
 
 def visible(html: str | None) -> str:
-    """The text between a page's tags."""
-    return _TAGS.sub(" ", html) if html else ""
+    """The text between a page's tags, without scripts, styles and comments, in one pass from left to right.
+
+    What is opened and never closed hides nothing but its own sign, so that a broken page keeps its text.
+    """
+    if not html:
+        return ""
+    out, at, lowered, absent = [], 0, None, set()
+
+    def after(mark: str, start: int, text: str) -> int:
+        """The place behind the next ``mark``, or -1; one that is absent once is not looked for again."""
+        found = -1 if mark in absent else text.find(mark, start)
+        if found < 0:
+            absent.add(mark)
+            return -1
+        return found + len(mark)
+
+    while (begin := html.find("<", at)) >= 0:
+        out.append(html[at:begin])
+        end, hidden = -1, _HIDDEN.match(html, begin + 1)
+        if html.startswith("<!--", begin):
+            end = after("-->", begin + 4, html)
+        elif hidden:
+            # ASCII alone is lowered, so that places stay the same
+            lowered = html.translate(_LOWER) if lowered is None else lowered
+            end = after("</" + hidden[1].lower(), begin, lowered)
+            end = after(">", end, html) if end >= 0 else -1
+        if end < 0:
+            end = after(">", begin, html)
+        out.append(" ")
+        at = end if end >= 0 else begin + 1
+    out.append(html[at:])
+    return "".join(out)
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -80,7 +112,7 @@ def train(docs: DataFrame, rows: int = FIT_DOCS) -> tuple[list[str], np.ndarray]
 
     Languages are counted over all documents, so that each of them is fitted; beyond ``rows`` languages, one document each.
     """
-    labelled = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    labelled = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).distinct()
     groups = {r["lang"]: r for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("first")).collect()}
     if not groups:
         return [], np.zeros((0, BUCKETS))
@@ -89,8 +121,10 @@ def train(docs: DataFrame, rows: int = FIT_DOCS) -> tuple[list[str], np.ndarray]
     cuts = [(lang, n, max(groups[lang]["first"], min((2 * n + 100) * 2**64 // groups[lang]["n"] - 2**63, 2**63 - 1))) for lang, n in taken.items()]
     near = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, _n long, _cut long")), "lang").where("_h <= _cut")
     ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id")))
-    chosen = ranked.where("_rank <= _n").select("doc_id", "lang")
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"], kind="stable")
+    chosen = ranked.where("_rank <= _n").select("doc_id", "lang").distinct()
+    # an id comes to the driver once for each of its languages, with its first text of that language
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    found = texts.toPandas().sort_values(["doc_id", "lang"], kind="stable")
     return fit([t or "" for t in found["text"]], list(found["lang"]))
 
 

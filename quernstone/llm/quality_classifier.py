@@ -106,6 +106,28 @@ class AttentionModel:
         bag = np.add.reduceat(attention[:, None] * code, starts, axis=0)
         return {"starts": starts, "code": code, "signal": signal, "gate": gate, "attention": attention, "bag": bag, "score": _sigmoid(bag @ w["score"] + w["score_bias"])}
 
+    def gradients(self, x: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy of the document labels by every weight."""
+        w, f = self.weights, self._forward(x, counts)
+        d_out = (f["score"] - labels) / len(labels)
+        d_bag = np.outer(d_out, w["score"])
+        spread = np.repeat(d_bag, counts, axis=0)
+        d_attention = (spread * f["code"]).sum(axis=1)
+        lean = np.repeat(np.add.reduceat(d_attention * f["attention"], f["starts"]), counts)
+        d_energy = f["attention"] * (d_attention - lean)
+        d_signal = np.outer(d_energy, w["attend"]) * f["gate"] * (1 - f["signal"] ** 2)
+        d_gate = np.outer(d_energy, w["attend"]) * f["signal"] * f["gate"] * (1 - f["gate"])
+        d_code = (spread * f["attention"][:, None] + d_signal @ w["signal"].T + d_gate @ w["gate"].T) * (1 - f["code"] ** 2)
+        return {
+            "encode": x.T @ d_code,
+            "encode_bias": d_code.sum(axis=0),
+            "signal": f["code"].T @ d_signal,
+            "gate": f["code"].T @ d_gate,
+            "attend": (f["signal"] * f["gate"]).T @ d_energy,
+            "score": f["bag"].T @ d_out,
+            "score_bias": d_out.sum(),
+        }
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.base)
@@ -134,25 +156,7 @@ def fit(texts: list[str], labels: np.ndarray, width: int = 16, steps: int = 300,
     model = AttentionModel(float(labels.mean()), mean, scale, w)
     slow = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     for step in range(1, steps + 1):
-        f = model._forward(x, counts)
-        d_out = (f["score"] - labels) / len(labels)
-        d_bag = np.outer(d_out, w["score"])
-        spread = np.repeat(d_bag, counts, axis=0)
-        d_attention = (spread * f["code"]).sum(axis=1)
-        lean = np.repeat(np.add.reduceat(d_attention * f["attention"], f["starts"]), counts)
-        d_energy = f["attention"] * (d_attention - lean)
-        d_signal = np.outer(d_energy, w["attend"]) * f["gate"] * (1 - f["signal"] ** 2)
-        d_gate = np.outer(d_energy, w["attend"]) * f["signal"] * f["gate"] * (1 - f["gate"])
-        d_code = (spread * f["attention"][:, None] + d_signal @ w["signal"].T + d_gate @ w["gate"].T) * (1 - f["code"] ** 2)
-        gradients = {
-            "encode": x.T @ d_code,
-            "encode_bias": d_code.sum(axis=0),
-            "signal": f["code"].T @ d_signal,
-            "gate": f["code"].T @ d_gate,
-            "attend": (f["signal"] * f["gate"]).T @ d_energy,
-            "score": f["bag"].T @ d_out,
-            "score_bias": d_out.sum(),
-        }
+        gradients = model.gradients(x, counts, labels)
         for k, g in gradients.items():
             m, v = slow[k]
             m = 0.9 * m + 0.1 * g

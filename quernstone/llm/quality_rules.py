@@ -1,9 +1,11 @@
 """Quality rules per document and per host, in built-in column expressions alone.
 
 Each document gets its counts and fails the base rules on them. Hosts are the documents' sources: failures are added up
-by host, and each host's failure rate is shrunk towards the corpus with a beta prior fitted to all hosts' rates by their
-weighted mean and variance, so that a host with few documents needs stronger evidence. A host whose shrunk rate lies above
-the limit fails, and its verdict is joined back to its documents.
+by host, and each host's failure rate is shrunk towards the corpus with a beta prior, so that a host with few documents
+needs stronger evidence. The prior's mean is the corpus' failure rate; its strength comes from how much more the hosts'
+rates vary than chance alone would make them (the moments of a beta-binomial distribution), so that the chance of few
+documents does not pass for a difference between hosts. A host fails whose shrunk rate is above ``host_factor`` times the
+corpus' rate and above ``host_least``, or above ``host_limit``. The verdict is joined back to the host's documents.
 
 Defined results: a null text has no words and fails; a null host is a host of its own; repeated rows count each; an empty
 table gives an empty result; columns besides id, text and host are not read.
@@ -67,26 +69,27 @@ def base_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return places.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_places")
 
 
-def host_verdicts(base: DataFrame, limit: float) -> DataFrame:
+def host_verdicts(base: DataFrame, limit: float = 0.5, factor: float = 3.0, least: float = 0.25) -> DataFrame:
     """Per host: documents, failures, shrunk failure rate and verdict. The prior is one row."""
     hosts = base.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failures"))
-    rate = F.col("host_failures") / F.col("host_docs")
-    moments = hosts.agg(
-        (F.sum("host_failures") / F.sum("host_docs")).alias("mean"),
-        (F.sum(F.col("host_docs") * rate * rate) / F.sum("host_docs")).alias("square"),
-    )
-    variance = F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(1e-12))
-    strength = F.least(F.greatest(F.col("mean") * (1 - F.col("mean")) / variance - 1, F.lit(1.0)), F.lit(1e6))
-    prior = moments.select(F.lit(1).alias("_one"), "mean", strength.alias("strength"))
+    docs, failures = F.col("host_docs").cast("double"), F.col("host_failures").cast("double")
+    sums = hosts.agg(F.sum(failures).alias("f"), F.sum(docs).alias("s"), F.sum(docs * docs).alias("s2"), F.count(F.lit(1)).alias("hosts"), F.sum(failures * failures / docs).alias("q"))
+    mean = sums.withColumn("mean", F.try_divide("f", "s"))
+    # the share of the rates' spread that lies between hosts, and not in the chance of each host's documents
+    room = F.col("s") - F.try_divide("s2", "s") - F.col("hosts") + 1
+    spread = F.try_divide(F.col("q") - F.col("mean") * F.col("mean") * F.col("s"), F.col("mean") * (1 - F.col("mean"))) - F.col("hosts") + 1
+    between = F.when((F.col("mean") > 0) & (F.col("mean") < 1) & (room > 0), F.try_divide(spread, room)).otherwise(0.0)
+    prior = mean.select(F.lit(1).alias("_one"), "mean", (1 / F.least(F.greatest(between, F.lit(1e-6)), F.lit(0.5)) - 1).alias("strength"))
     shrunk = (F.col("host_failures") + F.col("mean") * F.col("strength")) / (F.col("host_docs") + F.col("strength"))
-    return hosts.withColumn("_one", F.lit(1)).join(F.broadcast(prior), "_one").select("host", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk > limit).alias("host_failed"))
+    bound = F.least(F.lit(limit), F.greatest(F.lit(least), F.lit(factor) * F.col("mean")))
+    return hosts.withColumn("_one", F.lit(1)).join(F.broadcast(prior), "_one").select("host", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk > bound).alias("host_failed"))
 
 
-def apply_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", least_words: int = 20, most_repeated: int = 30, host_limit: float = 0.5) -> DataFrame:
+def apply_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", least_words: int = 20, most_repeated: int = 30, host_limit: float = 0.5, host_factor: float = 3.0, host_least: float = 0.25) -> DataFrame:
     """Counts, ``base_failed``, the host's figures and ``kept`` for every row. The texts are read once."""
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     base = written(base_counts(docs, id_column, text_column, host_column).withColumn("base_failed", failed), "quality")
-    hosts = host_verdicts(base, host_limit).withColumnRenamed("host", "_host")
+    hosts = host_verdicts(base, host_limit, host_factor, host_least).withColumnRenamed("host", "_host")
     return base.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host").withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 
@@ -114,10 +117,11 @@ WITH words AS (
 ), hosts AS (
   SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS f FROM rules GROUP BY host
 ), moments AS (
-  SELECT sum(f) / sum(n) AS m, sum(n * (f / n) * (f / n)) / sum(n) AS q FROM hosts
+  SELECT sum(f) / sum(n) AS m, sum(n) AS s, sum(n * n) AS s2, count(*) AS hosts, sum(f * f / n) AS q FROM hosts
+), prior AS (
+  SELECT m, 1 / least(greatest(CASE WHEN m > 0 AND m < 1 AND s - s2 / s - hosts + 1 > 0 THEN ((q - m * m * s) / (m * (1 - m)) - hosts + 1) / (s - s2 / s - hosts + 1) ELSE 0 END, 1e-6), 0.5) - 1 AS k FROM moments
 ), verdicts AS (
-  SELECT host, (f + m * k) / (n + k) > 0.5 AS host_failed
-  FROM hosts, (SELECT m, least(greatest(m * (1 - m) / greatest(q - m * m, 1e-12) - 1, 1.0), 1e6) AS k FROM moments)
+  SELECT host, (f + m * k) / (n + k) > least(0.5, greatest(0.25, 3.0 * m)) AS host_failed FROM hosts, prior
 )
 SELECT r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, NOT r.base_failed AND NOT v.host_failed AS kept
 FROM rules r JOIN verdicts v ON r.host IS NOT DISTINCT FROM v.host

@@ -12,6 +12,7 @@ order; a null id sorts first; an empty table gives empty files; further columns
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quernstone.llm.bpe import refuse_other_cuts
 
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
 
@@ -38,7 +40,8 @@ def _kinds() -> np.ndarray:
 
 
 _KINDS = _kinds()
-#: Pieces are told apart by a sum of random products of characters and places; longer ones by another hash.
+#: Pieces are told apart by a 64-bit sum of random products of characters and places, longer ones by another hash; two of
+#: a billion different pieces share one with a chance of about one in forty.
 _LONG = 64
 _DRAW = np.random.default_rng(23)
 _CHARS, _PLACES = (_DRAW.integers(1, 2**63, size, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for size in (256, _LONG))
@@ -91,6 +94,10 @@ class LibraryEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        refuse_other_cuts(spec, path)
+        self._special = tuple(t["content"] for t in spec["added_tokens"])
         self._tokenizer = Tokenizer.from_file(path)
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -99,6 +106,16 @@ class LibraryEncoder:
         self._pieces: dict[int, bytes] = {}
         self._old: dict[int, bytes] = {}
 
+    def _plain(self, text: str) -> bool:
+        """Whether a text is Latin-1 and holds no special token."""
+        if any(token in text for token in self._special):
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -127,8 +144,8 @@ class LibraryEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = [b""] * len(texts)
-        plain = [i for i, text in enumerate(texts) if text and _plain(text)]
-        whole = [i for i, text in enumerate(texts) if text and not _plain(text)]
+        plain = [i for i, text in enumerate(texts) if text and self._plain(text)]
+        whole = [i for i, text in enumerate(texts) if text and not self._plain(text)]
         for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else [], strict=True):
             out[i] = ids.tobytes()
         if not plain:
@@ -153,16 +170,6 @@ class LibraryEncoder:
         return out
 
 
-def _plain(text: str) -> bool:
-    if "<|" in text:
-        return False
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
     """The encoder of ``path``, made once in each Python worker."""

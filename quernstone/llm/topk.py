@@ -8,7 +8,8 @@ next block. Ties at the bound stay. The tiles' k best meet in one ranking per qu
 
 Defined results: vectors that are null or hold null or non-finite components, and null ids, take no part; shorter vectors
 count as padded with zeros; a row with the query's id is never its candidate; repeated candidate rows are ranked each;
-repeated query ids are one query if their vectors agree; ties go to the smaller id; fewer rows than k give fewer ranks.
+rows that share a query's id and its vector are one query, those with another vector a query of their own, ranked by itself
+under the same id; ties go to the smaller id; fewer rows than k give fewer ranks; scores beyond a long are an error.
 """
 
 from __future__ import annotations
@@ -36,10 +37,12 @@ def _matrix(lists: pa.Array, width: int, scale: int) -> np.ndarray:
 
 
 def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products of all columns, for components too large for double precision, held to the range of a long."""
+    """Inner products of all columns, for components too large for double precision; beyond a long they are an error."""
     whole = np.vectorize(int, otypes=[object])
     product = whole(queries).T.dot(whole(rows))
-    return np.clip(product, -_LONG, _LONG).astype(np.int64)
+    if product.size and max(abs(int(product.max())), abs(int(product.min()))) > _LONG:
+        raise OverflowError("a score exceeds the range of a long")
+    return product.astype(np.int64)
 
 
 def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block: int, group: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -92,23 +95,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "v
     Rows are sent once for every ``tile_queries`` queries and queries once for every ``tile_rows`` rows.
     """
     usable = F.forall(F.col(vector_column), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    clean = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"), is_query.alias("asks")).where(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(usable, F.lit(False)))
+    clean = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"), is_query.alias("asks")).where(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(usable, F.lit(False)))
     totals = clean.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1)), F.max(F.size("vector"))).first()
     parts, blocks, width = max(1, -(-totals[0] // tile_rows)), max(1, -(-totals[1] // tile_queries)), totals[2] or 0
 
     hashed = F.xxhash64("id")
     rows = clean.select("id", "vector", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    queries = clean.where("asks").groupBy("id").agg(F.min("vector").alias("vector")).select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"))
+    queries = clean.where("asks").select("id", "vector").distinct().select("id", "vector", F.xxhash64("vector").alias("which"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"))
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [[np.empty(0, np.int64)] * 3]
+        found = [[np.empty(0, np.int64)] * 4]
         if left.num_rows and right.num_rows:
             left, right = left.combine_chunks(), right.combine_chunks()
-            names, ids = left["id"].to_numpy(), right["id"].to_numpy()
+            names, which, ids = left["id"].to_numpy(), left["which"].to_numpy(), right["id"].to_numpy()
             matrices = [_matrix(t["vector"].chunk(0), width, scale) for t in (left, right)]
-            found += [(names[q], v, s) for q, v, s in best(names, matrices[0], ids, matrices[1], k, block)]
-        return pa.table({n: pa.array(np.concatenate(c).astype(np.int64)) for n, c in zip(("query_id", "id", "score"), zip(*found, strict=True), strict=True)})
+            found += [(names[q], which[q], v, s) for q, v, s in best(names, matrices[0], ids, matrices[1], k, block)]
+        return pa.table({n: pa.array(np.concatenate(c).astype(np.int64)) for n, c in zip(("query_id", "which", "id", "score"), zip(*found, strict=True), strict=True)})
 
-    near = queries.groupBy("part", "block").cogroup(rows.groupBy("part", "block")).applyInArrow(tile, "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
+    near = queries.groupBy("part", "block").cogroup(rows.groupBy("part", "block")).applyInArrow(tile, "query_id long, which long, id long, score long")
+    order = Window.partitionBy("query_id", "which").orderBy(F.col("score").desc(), F.col("id"))
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")

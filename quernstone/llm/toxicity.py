@@ -1,10 +1,12 @@
 """Toxicity by a counterfactually regularised classifier.
 
 Documents are bags of lower-case words and word beginnings. Of these, the ``most_terms`` that tell the labels apart best
-become features, each as its count up to five, beside the logarithm of the document's length; a logistic model is fitted on
-them. In every labelled sentence that names an identity the term is swapped for each other term of its group, and the
-squared change of the document's logit is added to the loss, so that a neutral mention of one group scores like that of
-another. Words that no labelled document holds carry no weight.
+become features, each as its count up to ``most_repeats``, beside the logarithm of the document's length; a logistic model
+is fitted on them. In every labelled sentence that names an identity the term is swapped for each other term of its group,
+and the squared change of the sentence's logit is added to the loss, so that a mention of one group scores like that of
+another. Neutral sentences, each with every term, are swapped alike: they are labelled by what they say, and through them
+groups that few labelled documents name, but whose terms begin like words with weight, are levelled too. ``n_swaps`` of
+the model counts the swaps. Words that no labelled document holds carry no weight of their own.
 
 Defined results: a null or empty text is scored by its length feature alone; repeated rows score alike; texts of any length
 are read whole; without labels of both kinds every score is the share of label 1 (0 without any label); an empty table
@@ -13,6 +15,7 @@ gives an empty result; columns besides id and text are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -63,9 +66,13 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
     ("ancianos", "jóvenes", "discapacitados", "sordos", "ciegos"),
 )
+#: Neutral sentences about a group, into which every identity term is put.
+NEUTRAL = ("we met the {} in town", "the {} live here", "my neighbours are {}")
+#: A term counts at most so often in a document, so that a single repeated word does not outweigh all others.
+MOST_REPEATS = 5
 BEGINNINGS = range(4, 8)
 _BREAKS = bytes(b if (b >= 128 or chr(b).isalnum() or b == 39) else 32 for b in range(256))
-_SENTENCE = re.compile(r"[^.!?\n]+")
+_SENTENCE = re.compile(r"[.!?\n]+")
 _CACHE = 150_000
 
 
@@ -88,6 +95,8 @@ class ToxicityModel:
     weights: np.ndarray | None = None
     bias: float = 0.0
     length_weight: float = 0.0
+    most_repeats: int = MOST_REPEATS
+    n_swaps: int = 0
     _known: dict[bytes, tuple[int, ...] | None] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
@@ -114,7 +123,7 @@ class ToxicityModel:
 
     def logit(self, text: str | None) -> float:
         words = words_of(text)
-        return self.bias + self.length_weight * math.log1p(len(words)) + sum(self.weights[i] * min(n, 5) for i, n in self.counts(words).items())
+        return self.bias + self.length_weight * math.log1p(len(words)) + sum(self.weights[i] * min(n, self.most_repeats) for i, n in self.counts(words).items())
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
@@ -122,18 +131,17 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.logit(text)))))
 
 
-def swapped(text: str, groups: Sequence[Sequence[str]]) -> list[str]:
-    """Copies of ``text`` in which one identity term stands for another, through all sentences that name it."""
-    found = []
-    lowered = set(words_of(text))
-    for group in groups:
-        for term in group:
-            if term.encode() in lowered:
-                pattern = re.compile(rf"\b{re.escape(term)}\b", re.IGNORECASE)
-                for other in group:
-                    if other != term:
-                        found.append(_SENTENCE.sub(lambda m, p=pattern, o=other: p.sub(o, m[0]), text))
-    return found
+def swaps(text: str, groups: Sequence[Sequence[str]]) -> Iterator[tuple[str, str]]:
+    """Each sentence of ``text`` that names an identity, with each copy in which another of the group stands for it."""
+    for sentence in _SENTENCE.split(text):
+        present = set(words_of(sentence))
+        for group in groups:
+            for term in group:
+                if term.encode() in present:
+                    pattern = re.compile(rf"\b{re.escape(term)}\b", re.IGNORECASE)
+                    for other in group:
+                        if other != term:
+                            yield sentence, pattern.sub(other, sentence)
 
 
 def choose_terms(bags: list[list[bytes]], labels: np.ndarray, most_terms: int, least_docs: int, least_chi: float) -> list[bytes]:
@@ -157,39 +165,42 @@ def choose_terms(bags: list[list[bytes]], labels: np.ndarray, most_terms: int, l
     return [term for _, term in sorted(ranked)[:most_terms]]
 
 
-def fit(texts: list[str], labels: np.ndarray, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS, most_terms: int = 1500, least_docs: int = 3, least_chi: float = 12.0, fairness: float = 1.0, ridge: float = 2e-5, steps: int = 400, rate: float = 0.05) -> ToxicityModel:
-    """Fit by full-batch Adam on cross entropy, ridge and the counterfactual penalty."""
+def fit(texts: list[str], labels: np.ndarray, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS, most_terms: int = 1500, least_docs: int = 3, least_chi: float = 12.0, fairness: float = 1.0, ridge: float = 2e-5, steps: int = 400, rate: float = 0.05, most_repeats: int = MOST_REPEATS) -> ToxicityModel:
+    """Fit by full-batch Adam on cross entropy, ridge and the mean squared change of the logit by a swap."""
     if len(set(labels.tolist())) < 2:
         return ToxicityModel(float(labels.mean()) if len(labels) else 0.0)
     bags = [words_of(t) for t in texts]
     terms = choose_terms(bags, labels, most_terms, least_docs, least_chi)
-    for group in groups:
-        terms += [t.encode() for t in group if t.encode() not in terms and any(t.encode() in b for b in map(set, bags))]
-    model = ToxicityModel(float(labels.mean()), {t: i for i, t in enumerate(terms)})
-
-    def rows(documents: Sequence[list[bytes]]) -> np.ndarray:
-        out = np.zeros((len(documents), len(terms) + 1), np.float32)
-        for r, words in enumerate(documents):
-            for i, n in model.counts(words).items():
-                out[r, i] = min(n, 5)
-            out[r, -1] = math.log1p(len(words))
+    held, chosen = set().union(*bags), set(terms)
+    terms += [t for t in (term.encode() for group in groups for term in group) if t in held and t not in chosen]
+    model = ToxicityModel(float(labels.mean()), {t: i for i, t in enumerate(terms)}, most_repeats=most_repeats)
+
+    def row(words: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(terms) + 1, np.float32)
+        for i, n in model.counts(words).items():
+            out[i] = min(n, most_repeats)
+        out[-1] = math.log1p(len(words))
         return out
 
-    x = rows(bags)
-    origin, copies = [], []
-    for r, text in enumerate(texts):
-        for copy in swapped(text, groups):
-            origin.append(r)
-            copies.append(words_of(copy))
-    change = rows(copies) - x[origin] if copies else np.zeros((0, x.shape[1]), np.float32)
+    x = np.stack([row(words) for words in bags])
+    neutral = (s.format(term) for s in NEUTRAL for group in groups for term in group)
+    # the penalty is a quadratic form, added up a block of swaps at a time
+    change, block = np.zeros((x.shape[1], x.shape[1])), []
+    for sentence, copy in itertools.chain.from_iterable(swaps(t, groups) for t in itertools.chain(texts, neutral)):
+        block.append(row(words_of(copy)) - row(words_of(sentence)))
+        model.n_swaps += 1
+        if len(block) == 1024:
+            change += np.stack(block).T @ np.stack(block)
+            block = []
+    if block:
+        change += np.stack(block).T @ np.stack(block)
+    change = (change / max(model.n_swaps, 1)).astype(np.float32)
 
     w, bias = np.zeros(x.shape[1], np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
         gap = 1 / (1 + np.exp(-np.clip(x @ w + bias, -50, 50))) - labels
-        g = np.append(x.T @ gap.astype(np.float32) / len(labels) + 2 * ridge * w, gap.mean())
-        if len(change):
-            g[:-1] += 2 * fairness * (change.T @ (change @ w)) / len(change)
+        g = np.append(x.T @ gap.astype(np.float32) / len(labels) + 2 * ridge * w + 2 * fairness * (change @ w), gap.mean())
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)

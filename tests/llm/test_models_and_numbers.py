@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm import language_id, mixture, quality_classifier, queries, topk, toxicity
+from quernstone.llm import labelled, language_id, mixture, quality_classifier, queries, topk, toxicity
 from quernstone.llm.components import components
 from quernstone.session import table
 
@@ -78,7 +79,7 @@ def test_passage_features_match_a_plain_version():
     assert at == len(x)
 
 
-def test_attention_gradient_by_finite_differences():
+def test_attention_fits_labels():
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(["ab", "C!!", "d d", "###"], 120)) for _ in range(6)]
     model = quality_classifier.fit(texts, np.array([0, 1, 0, 1, 1, 0]), width=4, steps=400, rate=0.05, decay=0.0)
@@ -86,6 +87,93 @@ def test_attention_gradient_by_finite_differences():
     assert np.abs(scores - [0, 1, 0, 1, 1, 0]).max() < 0.2
 
 
+def test_attention_gradient_by_finite_differences():
+    rng = np.random.default_rng(1)
+    counts, labels = np.array([1, 3, 2, 4]), np.array([0, 1, 1, 0])
+    x = rng.normal(0, 1, (10, 5))
+    w = {k: rng.normal(0, 0.7, shape) for k, shape in {"encode": (5, 3), "encode_bias": 3, "signal": (3, 3), "gate": (3, 3), "attend": 3, "score": 3, "score_bias": ()}.items()}
+    loss = lambda weights: (lambda p: -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p)))(quality_classifier.AttentionModel(0.5, None, None, weights)._forward(x, counts)["score"])
+    found = quality_classifier.AttentionModel(0.5, None, None, w).gradients(x, counts, labels)
+    for name, value in w.items():
+        for at in np.ndindex(np.shape(value)):
+            step = np.zeros(np.shape(value))
+            step[at] = 1e-6
+            slope = (loss(w | {name: value + step}) - loss(w | {name: value - step})) / 2e-6
+            assert np.asarray(found[name])[at] == pytest.approx(slope, abs=1e-7), (name, at)
+
+
+def plain_quality(model, text):
+    """Attention and score of one document, passage by passage."""
+    x, _ = quality_classifier.passages([text])
+    w, sig = model.weights, lambda v: 1 / (1 + np.exp(-v))
+    codes = [np.tanh((row - model.mean) / model.scale @ w["encode"] + w["encode_bias"]) for row in x]
+    energy = np.array([w["attend"] @ (np.tanh(c @ w["signal"]) * sig(c @ w["gate"])) for c in codes])
+    weight = np.exp(energy) / np.exp(energy).sum()
+    return sig(sum(a * c for a, c in zip(weight, codes, strict=True)) @ w["score"] + w["score_bias"])
+
+
+def plain_toxicity(model, text):
+    """The logistic score of one document, from its words' terms."""
+    words = re.findall(r"[a-z0-9'\x80-\xff]+", text.lower().encode().decode("latin-1")) if text else []
+    found = Counter(t for w in words for t in toxicity.terms_of(w.encode("latin-1")))
+    logit = model.bias + model.length_weight * np.log1p(len(words)) + sum(model.weights[i] * min(found[t], 5) for t, i in model.terms.items())
+    return 1 / (1 + np.exp(-logit))
+
+
+@pytest.mark.parametrize(("module", "plain"), [(quality_classifier, plain_quality), (toxicity, plain_toxicity)])
+def test_scores_match_a_plain_version(spark, module, plain):
+    documents, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    model = module.train(documents, labels)
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    for r in module.classify(documents, labels).collect():
+        assert r.score == pytest.approx(plain(model, texts[r.doc_id]), abs=1e-6)
+
+
+def test_registered_toxicity_is_fitted_with_swaps(spark):
+    model = toxicity.train(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    assert model.n_swaps > 300
+    chosen = labelled.sample(table(spark, SF, "documents"), table(spark, SF, "labels"), "toxic", labelled.split_of("doc_id", 3) != 1)
+    without = toxicity.fit(*chosen, fairness=0.0)
+    names = [(a, b) for group in toxicity.IDENTITY_GROUPS for a, b in zip(group, group[1:], strict=False)]
+    gap = lambda m: sum((m.logit(f"the {a} live here") - m.logit(f"the {b} live here")) ** 2 for a, b in names)
+    assert gap(model) < 0.5 * gap(without)
+
+
+def test_an_id_repeated_many_times_is_fitted_once(spark, monkeypatch):
+    many = spark.range(5000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("fr").alias("lang"))
+    few = spark.createDataFrame([(4, "other", "en"), (5, "more", "en")], many.schema)
+    labels = spark.createDataFrame([(3, 1, 1, "x"), (3, 0, 0, "x"), (4, 1, 0, "x"), (5, None, 1, "x")], LABELS)
+    texts, y = labelled.sample(many.union(few), labels, "quality", F.lit(True))
+    assert (texts, y.tolist()) == (["text 0", "other"], [0, 1])
+    fitted = []
+    monkeypatch.setattr(language_id, "fit", lambda texts, langs: fitted.append(sorted(zip(texts, langs, strict=True))) or (["en"], np.zeros((1, language_id.BUCKETS))))
+    language_id.train(many.union(few))
+    assert fitted == [[("more", "en"), ("other", "en"), ("text 0", "en"), ("text 1", "fr")]]
+
+
+def test_null_ids_are_held_out_or_not(spark):
+    rows, none = [(None, "x", "s")], spark.createDataFrame([], LABELS)
+    assert quality_classifier.classify(docs(spark, rows), none).first().held_out is True
+    assert toxicity.classify(docs(spark, rows), none).first().held_out is False
+
+
+def test_tags_are_cut_in_linear_time():
+    assert language_id.visible("a<b>c</b><script>x<y</SCRIPT >d<!-- q > -->e<i f") == "a c  d e <i f".replace("<i", "i")
+    began = time.perf_counter()
+    for page in ("<" * 1_000_000, "<script>" * 130_000, "<!--" * 250_000, "<style></style " * 70_000):
+        language_id.visible(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_languages_of_documents_that_were_not_fitted_on(spark):
+    """Bare texts of known language as pages: nothing but the text tells the language."""
+    known = table(spark, SF, "documents").where("lang IS NOT NULL AND length(text) > 200")
+    names = {r.doc_id: r.lang for r in known.collect()}
+    pages = known.where("doc_id % 2 = 0").select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"))
+    got = language_id.identify(pages, known.where("doc_id % 2 = 1")).collect()
+    assert len(got) > 300 and sum(r.lang == names[r.page_id] for r in got) / len(got) > 0.95
+
+
 def test_counterfactual_penalty_levels_identity_terms():
     rng = random.Random(6)
     words = ["calm", "river", "stone", "light", "walk"]
@@ -103,7 +191,8 @@ def test_counterfactual_penalty_levels_identity_terms():
         model = toxicity.fit(texts, np.array(labels), fairness=weight)
         gap[weight] = abs(model.logit("a muslim by the river") - model.logit("a christian by the river"))
     assert gap[5.0] < 0.5 * gap[0.0]
-    assert toxicity.swapped("The Muslim man.", (("muslim", "jewish"),)) == ["The jewish man."]
+    found = list(toxicity.swaps("All calm. The Muslim man, a muslim! A man.", (("muslim", "jewish", "hindu"),)))
+    assert found == [(" The Muslim man, a muslim", f" The {x} man, a {x}") for x in ("jewish", "hindu")]
 
 
 def test_identity_groups_in_four_languages(spark):
@@ -194,6 +283,17 @@ def test_mixture_meets_targets_and_repeats(spark):
     assert mixture.mix(frame.limit(0)).count() == 0
 
 
+def test_mixture_keeps_columns_of_any_name(spark):
+    names = ["_s", "_z", "_b", "_each", "_size", "_salt", "__size", "_more", "docs", "salt", "tilt", "Mean"]
+    frame = docs(spark, [(k, "w " * (k % 9 + 1), "ab"[k % 2]) for k in range(60)]).withColumn("size", mixture.word_count("text"))
+    wide = frame.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    mixed = mixture.mix(wide)
+    assert mixed.columns == [*wide.columns, "source_size", "target", "rate", "copies", "taken"]
+    assert all(r[n] == f"{n}{r.doc_id}" for r in mixed.collect() for n in names)
+    plain = mixture.mix(frame).select("doc_id", "copies").collect()
+    assert sorted(map(tuple, mixed.select("doc_id", "copies").collect())) == sorted(map(tuple, plain))
+
+
 def brute_top(vectors, k=10):
     usable = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
@@ -214,6 +314,16 @@ def test_top_k_matches_all_pairs(spark):
         assert {tuple(r) for r in got} == brute_top(vectors) and len(got) == len(set(got))
 
 
+def test_top_k_of_an_id_with_several_vectors(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 100 == 0).collect())
+    k = 1024 * 1024
+    assert got == sorted([(100, 1, 1, 3 * k), (100, 2, 2, k), (100, 1, 2, 2 * k), (100, 2, 1, k)])
+    with pytest.raises(Exception, match="range of a long"):
+        topk.top_k(spark.createDataFrame([(100, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+
+
 def test_top_k_small_and_empty_tables(spark):
     schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
     ask = F.col("vec_id") % 100 == 0

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -77,6 +78,15 @@ def test_stages_take_edge_rows_and_empty_tables(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (True, 0), (True, 0)]
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["score", "_score", "h", "row", "key", "first", "words", "_words", "copies", "target", "point", "_size"]
+    docs = table(spark, SF, "documents").withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names), name
+
+
 def test_documents_that_reuse_an_id_stay_unless_near_copies(spark):
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base), " ".join([*base, "more"]), " ".join(f"v{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))]

@@ -1,13 +1,16 @@
 """Operators on texts against plain versions, with nulls, empty and long texts, ties, repeated rows and empty tables."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -99,7 +102,7 @@ def test_jaccard_join_cells_hold_every_link(spark):
         words[rng.randrange(len(words))] = f"x{k}"
     sets = jaccard_join._sets(frame(spark, rows).select("doc_id", "text")).cache()
     points = sorted(r.doc for r in sets.collect())
-    cells = sets.select(F.lit(7).cast("long").alias("region"), "doc", "n", F.col("doc").alias("part"), F.lit(points[0]).alias("main"))
+    cells = sets.select(F.lit(7).cast("long").alias("region"), "doc", "n", F.col("doc").alias("part"), F.lit(points[0]).alias("main"), F.lit(len(points)).alias("size"))
     placed, links = jaccard_join._faced(cells, sets, 80)
     # as long as no links are known, every boundary document is of another component
     divided = jaccard_join._divided(cells, placed, spark.createDataFrame([], "node long, component long"), 80).collect()
@@ -229,6 +232,33 @@ def test_quality_rules_match_a_plain_version(spark):
     assert quality_rules.apply_rules(frame(spark, [])).count() == 0
 
 
+def test_host_verdicts_match_sql_where_hosts_fail(spark):
+    """A host far above the others fails with its sound documents; a small one needs more; chance alone fails none."""
+    sound = " ".join(f"w{i}" for i in range(40))
+    rates = {"a": (400, 20), "b": (300, 12), "c": (500, 30), "far": (200, 90), "tiny": (2, 1), "most": (30, 28), None: (50, 2)}
+    rows = [(1000 * h + k, "short" if k < bad else f"{sound} {k}", host) for h, (host, (n, bad)) in enumerate(rates.items()) for k in range(n)]
+    con = duckdb.connect()
+    con.register("held", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "source": [r[2] for r in rows]}))
+    con.execute("CREATE VIEW documents AS SELECT * FROM held")
+    got = quality_rules.apply_rules(frame(spark, rows)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(quality_rules.ORACLE).fetchall())
+    hosts = {i: r[2] for i, *r in ((r[0], r[0], r[1], r[2]) for r in rows)}
+    dropped = {hosts[r.doc_id] for r in got.collect() if not r.base_failed and not r.kept}
+    assert dropped == {"far", "most"}
+    even = [(k, "short" if k % 9 == 0 else sound, f"h{k % 40}") for k in range(900)]
+    assert all(r.kept != r.base_failed for r in quality_rules.apply_rules(frame(spark, even)).collect())
+
+
+def test_tokenizers_that_cut_otherwise_are_refused(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[a-z]+"
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    for encoder in (bpe.WordBpe, token_files.LibraryEncoder):
+        with pytest.raises(ValueError):
+            encoder(str(other))
+
+
 def expected_ids(text):
     return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
 
