@@ -55,11 +55,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (local tests) is a temporary folder set.
+    Only where a session on this machine alone has none (tests) is a temporary folder set; a cluster must name one.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if configured is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="quernstone-")
         context.setCheckpointDir(configured)
     return configured.rstrip("/")
