@@ -26,6 +26,25 @@ def numbered(frame: DataFrame, *order: Column | str, name: str = "row_no") -> Da
     return numbers_from_parts(rows, name)
 
 
+def running(frame: DataFrame, key: str, sums: dict[str, str]) -> DataFrame:
+    """Add, for each column of ``sums``, its total over all rows before this one in the order of the distinct ``key``.
+
+    Range partitions add up alone and are joined with the totals of those before them, one row per partition.
+    """
+    ranged = written(frame.repartitionByRange(key).withColumn("part", F.spark_partition_id()), "running")
+    parts = ranged.groupBy("part").agg(*[F.sum(c).alias(f"all_{c}") for c in sums])
+    before, inside = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (Window.orderBy("part"), Window.partitionBy("part").orderBy(key)))
+    offsets = parts.select("part", *[F.coalesce(F.sum(f"all_{c}").over(before), F.lit(0)).alias(f"off_{c}") for c in sums])
+    added = ranged.join(F.broadcast(offsets), "part")
+    return added.select(*frame.columns, *[(F.col(f"off_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(name) for c, name in sums.items()])
+
+
+def occupancy(pages: DataFrame, size: int = PAGE_ROWS) -> DataFrame:
+    """(page_no, n_rows, is_full, is_empty) of each page."""
+    counted = pages.groupBy("page_no").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.select("page_no", "n_rows", (F.col("n_rows") == size).alias("is_full"), (F.col("n_rows") == 0).alias("is_empty"))
+
+
 def paged(rows: DataFrame, size: int = PAGE_ROWS) -> DataFrame:
     """Add the 0-based page of each numbered row."""
     return rows.withColumn("page_no", F.floor((F.col("row_no") - 1) / size))

@@ -6,7 +6,10 @@ commit, by whichever transaction, resets the timestamps of all items.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import clean_token
@@ -33,46 +36,50 @@ def verdicts(ops: DataFrame) -> DataFrame:
     return ops.sparkSession.sql(VERDICT_SQL.format(ops="{ops}", text="STRING"), ops=ops)
 
 
-def _put(state: Column, item: Column, ts: Column) -> Column:
-    return F.map_concat(F.map_filter(state, lambda k, _: k != item), F.create_map(item, ts))
+LOG = "schedule {kind}, item string, kind string, moment long, violates boolean"
 
 
 def access_log(ops: DataFrame) -> DataFrame:
     """(schedule, item, kind, moment, violates) of every logged operation, by a fold over each schedule's operations.
 
     Operations of a transaction that was rolled back are neither logged nor applied, but take their moments; a violating
-    operation is logged. A schedule is one group: its operations meet in one row.
+    operation is logged. Operations stream by in order, so that only the items' timestamps and the rolled back
+    transactions of one schedule are held, however long it is.
     """
-    step = F.struct("moment", "kind", "txn", F.col("ts").cast("long").alias("ts"), "item")
-    empty = F.from_json(F.lit("{}"), "map<string,bigint>")
-    txn = ops.schema["txn"].dataType.simpleString()
-    none = F.array().cast(f"array<{txn}>")
-    log_type = "array<struct<item:string,kind:string,moment:bigint,violates:boolean>>"
-    start = F.struct(empty.alias("reads"), empty.alias("writes"), none.alias("aborted"), F.array().cast(log_type).alias("log"))
-
-    def fold(s: Column, op: Column) -> Column:
-        commit, gone = op["kind"] == "c", F.array_contains(s["aborted"], op["txn"])
-        read, write = (F.coalesce(F.try_element_at(s[m], op["item"]), F.lit(-1)) for m in ("reads", "writes"))
-        bad = (op["ts"] < write) | ((op["kind"] == "w") & (op["ts"] < read))
-        skip = commit | gone
-        entry = F.struct(op["item"].alias("item"), F.upper(op["kind"]).alias("kind"), op["moment"].cast("bigint").alias("moment"), bad.alias("violates"))
-        keep = skip | bad
-        return F.struct(
-            F.when(commit, empty).when(keep | (op["kind"] == "w"), s["reads"]).otherwise(_put(s["reads"], op["item"], F.greatest(read, op["ts"]))).alias("reads"),
-            F.when(commit, empty).when(keep | (op["kind"] == "r"), s["writes"]).otherwise(_put(s["writes"], op["item"], op["ts"])).alias("writes"),
-            F.when(~skip & bad, F.concat(s["aborted"], F.array(op["txn"]))).otherwise(s["aborted"]).alias("aborted"),
-            F.when(skip, s["log"]).otherwise(F.concat(s["log"], F.array(entry))).alias("log"),
-        )
-
-    ordered = F.array_sort(F.collect_list(step))
-    return ops.groupBy("schedule").agg(F.aggregate(ordered, start, fold, lambda s: s["log"]).alias("log")).select("schedule", F.inline("log"))
-
-
-def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Items, operations and rejected operations of a schedule file's numbered lines.
-
-    Lines 1 to 3 name items, transactions and their timestamps; each further line is a schedule ``name-op op ...``. An
-    unknown transaction has timestamp 0. Operations of an unknown kind take no moment; malformed ones are rejected.
+    kept = ops.select("schedule", "moment", "kind", "txn", F.col("ts").cast("long").alias("ts"), "item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, reads, writes, gone = object(), {}, {}, set()
+        for batch in batches:
+            log = []
+            for schedule, moment, kind, txn, ts, item in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if schedule != at:
+                    at, reads, writes, gone = schedule, {}, {}, set()
+                if kind == "c":
+                    reads, writes = {}, {}
+                elif txn not in gone:
+                    violates = ts < writes.get(item, -1) or (kind == "w" and ts < reads.get(item, -1))
+                    log.append((schedule, item, kind.upper(), moment, violates))
+                    if violates:
+                        gone.add(txn)
+                    elif kind == "w":
+                        writes[item] = ts
+                    else:
+                        reads[item] = max(reads.get(item, -1), ts)
+            kinds = [batch.schema.field("schedule").type, pa.string(), pa.string(), pa.int64(), pa.bool_()]
+            columns = list(zip(*log, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["schedule", "item", "kind", "moment", "violates"])
+
+    ordered = kept.repartition("schedule").sortWithinPartitions("schedule", "moment")
+    return ordered.mapInArrow(run, LOG.format(kind=ops.schema["schedule"].dataType.simpleString()))
+
+
+def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Items, schedules (schedule, name), operations and rejected operations of a schedule file's numbered lines.
+
+    Lines 1 to 3 name items, transactions and their timestamps; each further line is a schedule ``name-op op ...``, known
+    by its line's number, as names may repeat; a line without a hyphen is name and operations at once. An unknown
+    transaction has timestamp 0. Operations of an unknown kind or form are rejected and take no moment.
     """
 
     def listed(line: int, name: str) -> DataFrame:
@@ -81,11 +88,24 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     items = listed(1, "item").select("item")
     stamps = listed(2, "name").join(listed(3, "ts"), "at").select(F.regexp_replace("name", "^t", "").alias("txn"), F.col("ts").try_cast("int").alias("ts"))
-    named = lines.where((F.col("line_no") > 3) & (F.trim("value") != "")).select("line_no", F.trim(F.substring_index("value", "-", 1)).alias("schedule"), F.regexp_extract("value", "^[^-]*-(.*)$", 1).alias("rest"))
-    tokens = named.select("line_no", "schedule", F.posexplode(F.filter(F.split("rest", r"\s+"), lambda t: t != "")).alias("at", "token"))
-    known = F.regexp_like("token", F.lit(r"^([rw]\w+\(\w+\)|c\w+);?$"))
-    cut = tokens.withColumn("good", known)
-    good = cut.where("good").select("schedule", "line_no", "at", F.substring("token", 1, 1).alias("kind"), F.regexp_extract("token", r"^.(\w+)", 1).alias("txn"), F.nullif(F.regexp_extract("token", r"\((\w+)\)", 1), F.lit("")).alias("item"))
-    moment = F.row_number().over(Window.partitionBy("schedule", "line_no").orderBy("at")) - 1
+    rest = F.when(F.contains("value", F.lit("-")), F.regexp_extract("value", "^[^-]*-(.*)$", 1)).otherwise(F.col("value"))
+    named = lines.where((F.col("line_no") > 3) & (F.trim("value") != "")).select(F.col("line_no").alias("schedule"), F.trim(F.substring_index("value", "-", 1)).alias("name"), rest.alias("rest"))
+    tokens = named.select("schedule", "name", F.posexplode(F.filter(F.split("rest", r"\s+"), lambda t: t != "")).alias("at", "token"))
+    cut = tokens.withColumn("good", F.regexp_like("token", F.lit(r"^([rw]\w+\(\w+\)|c\w+);?$")))
+    good = cut.where("good").select("schedule", "at", F.substring("token", 1, 1).alias("kind"), F.regexp_extract("token", r"^.(\w+)", 1).alias("txn"), F.nullif(F.regexp_extract("token", r"\((\w+)\)", 1), F.lit("")).alias("item"))
+    moment = F.row_number().over(Window.partitionBy("schedule").orderBy("at")) - 1
     ops = good.withColumn("moment", moment).join(stamps, "txn", "left")
-    return items, ops.select("schedule", "moment", "kind", "txn", F.coalesce("ts", F.lit(0)).alias("ts"), "item"), cut.where("NOT good").select("schedule", "token")
+    return items, named.select("schedule", "name"), ops.select("schedule", "moment", "kind", "txn", F.coalesce("ts", F.lit(0)).alias("ts"), "item"), cut.where("NOT good").select("schedule", "name", "token")
+
+
+def file_verdicts(schedules: DataFrame, ops: DataFrame) -> DataFrame:
+    """(schedule, name, rollback_moment, verdict) of every schedule of a file, those without any operation included."""
+    found = schedules.join(verdicts(ops).drop("verdict"), "schedule", "left")
+    answer = F.when(F.col("rollback_moment").isNull(), F.lit("OK")).otherwise(F.concat(F.lit("ROLLBACK-"), F.col("rollback_moment").cast("string")))
+    return found.select("schedule", "name", "rollback_moment", F.concat_ws("-", "name", answer).alias("verdict"))
+
+
+def file_log(schedules: DataFrame, ops: DataFrame) -> DataFrame:
+    """The access log of a file's schedules under their names; ``line_no`` tells those of one name apart."""
+    named = access_log(ops).join(schedules, "schedule")
+    return named.select(F.col("schedule").alias("line_no"), F.col("name").alias("schedule"), "item", "kind", "moment", "violates")
