@@ -182,19 +182,22 @@ def fit(texts: list[str], labels: np.ndarray, groups: Sequence[Sequence[str]] =
         out[-1] = math.log1p(len(words))
         return out
 
-    x = np.stack([row(words) for words in bags])
+    x = np.zeros((len(bags), len(terms) + 1), np.float32)
+    for at, words in enumerate(bags):
+        x[at] = row(words)
+    del bags
     neutral = (s.format(term) for s in NEUTRAL for group in groups for term in group)
     # the penalty is a quadratic form, added up a block of swaps at a time
-    change, block = np.zeros((x.shape[1], x.shape[1])), []
+    change, block = np.zeros((x.shape[1], x.shape[1]), np.float32), []
     for sentence, copy in itertools.chain.from_iterable(swaps(t, groups) for t in itertools.chain(texts, neutral)):
         block.append(row(words_of(copy)) - row(words_of(sentence)))
         model.n_swaps += 1
-        if len(block) == 1024:
+        if len(block) == 512:
             change += np.stack(block).T @ np.stack(block)
             block = []
     if block:
         change += np.stack(block).T @ np.stack(block)
-    change = (change / max(model.n_swaps, 1)).astype(np.float32)
+    change /= max(model.n_swaps, 1)
 
     w, bias = np.zeros(x.shape[1], np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
