@@ -229,8 +229,8 @@ def key_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def width_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    props = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("value"))
-    return delimited.width_is(props, 1, ":").select("event_id").union(delimited.width_is(props, 2, ":").select("event_id"))
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("value"))
+    return delimited.width_is(said, 3).select("conv_id", "turn")
 
 
 def index_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +291,7 @@ def _schedule_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = events.select("user_id").distinct().agg(F.array_sort(F.collect_list("user_id")).alias("u"))
     heads = users.select(F.array_join(F.transform("u", lambda u: F.concat(F.lit("t"), u.cast("string"))), ", ").alias("t"), F.array_join(F.transform("u", lambda u: (u * 7 % 101).cast("string")), ", ").alias("v"))
     first = heads.select(F.posexplode(F.array(F.lit("X, Y, Z;"), F.concat("t", F.lit(";")), F.concat("v", F.lit(";")))).alias("line_no", "value"))
-    body = ops.select((F.col("s") + 3).alias("line_no"), F.concat(F.lit("E_"), (F.col("s") % 5).cast("string"), F.lit("-"), F.col("ops")).alias("value"))
+    body = ops.select((F.col("s") + 3).alias("line_no"), F.concat(F.lit("E_"), (F.col("s") % 5).cast("string"), F.lit("-q0(Y) "), F.col("ops")).alias("value"))
     return _line_file(spark, first.union(body), "schedules")
 
 
@@ -410,7 +410,7 @@ def oracle_sql() -> dict[str, str]:
         "page_occupancy": "SELECT (pos - 1) // 10 AS page_no, count(*) AS n_rows, count(*) = 10 AS is_full, false AS is_empty FROM (SELECT row_number() OVER (ORDER BY s_suppkey) AS pos FROM supplier) GROUP BY ALL",
         "join_result": "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, CAST(n_regionkey AS VARCHAR) AS n_regionkey, CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name, 'resultado_juncao_nation_region.csv' AS file FROM nation JOIN region ON n_regionkey = r_regionkey",
         "key_lines": f"SELECT c_nationkey AS key, line_no FROM {_CUSTOMERS}",
-        "width_filter": "SELECT event_id FROM events WHERE len(string_split(regexp_replace(props, ':$', ''), ':')) <= 2",
+        "width_filter": "SELECT conv_id, turn FROM conversations WHERE len(string_split(text, ',')) - CASE WHEN text LIKE '%,' THEN 1 ELSE 0 END = 3",
         "index_matches": f"SELECT line_no FROM {_ENTRIES} WHERE key = 1996",
         "index_stored": f"SELECT key, line_no, CAST(0 AS BIGINT) AS before FROM {_ENTRIES}",
         "record_fetch": f"SELECT c_nationkey AS key, line_no, record FROM {_CUSTOMERS} WHERE c_nationkey = 7 UNION ALL SELECT 7, 0, ''",
@@ -420,7 +420,7 @@ def oracle_sql() -> dict[str, str]:
         "script_rejected": "SELECT CAST(seq AS BIGINT) AS seq, value FROM (VALUES (9, 'PUT:7'), (11, 'BUS=:x'), (13, 'no colon')) AS r(seq, value)",
         "prefix_test": "SELECT o_orderkey, starts_with(o_orderpriority, '1-') AS urgent FROM orders",
         "schedule_file": f"{_LOG} SELECT e.schedule + 4 AS schedule, 'E_' || e.schedule % 5 AS name, m AS rollback_moment, 'E_' || e.schedule % 5 || {_VERDICT} AS verdict FROM (SELECT DISTINCT event_id // 12 AS schedule FROM events) e LEFT JOIN ({_FIRSTS}) f ON f.schedule = e.schedule",
-        "schedule_rejected": "SELECT event_id // 12 + 4 AS schedule, 'E_' || (event_id // 12) % 5 AS name, 'q' || user_id || '(' || CASE event_id % 3 WHEN 0 THEN 'X' WHEN 1 THEN 'Y' ELSE 'Z' END || ')' AS token FROM events WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup', 'error')",
+        "schedule_rejected": "SELECT DISTINCT event_id // 12 + 4 AS schedule, 'E_' || (event_id // 12) % 5 AS name, 'q0(Y)' AS token FROM events",
         "log_files": f"SELECT item, schedule || ' ' || kind || ' ' || moment AS value FROM ({_LOGGED})",
         "token_clean": "SELECT event_id, regexp_replace(' ' || props || '; ', '[\\s;]', '', 'g') AS token FROM events",
         "int_prefix": "SELECT o_orderkey, TRY_CAST(regexp_extract(o_orderpriority, '^\\s*([+-]?\\d+)', 1) AS INTEGER) AS priority, TRY_CAST('-' || o_orderkey AS INTEGER) AS negative FROM orders",
