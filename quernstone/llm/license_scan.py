@@ -104,7 +104,7 @@ cut AS (
 ), texts AS (
   SELECT doc_id, regexp_extract_all(lower(translate(text, {_quoted(PUNCTUATION)}, '')), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL
 ), held AS (
-  SELECT doc_id, w FROM texts WHERE len(w) > 0 AND contains(lower(array_to_string(w, ' ')), 'licens') OR contains(lower(array_to_string(w, ' ')), 'permi') OR contains(lower(array_to_string(w, ' ')), 'software')
+  SELECT DISTINCT t.doc_id, t.w FROM texts t JOIN (SELECT DISTINCT unnest(s) AS x FROM known) k ON contains(' ' || array_to_string(t.w, ' ') || ' ', ' ' || k.x || ' ')
 ), hashed AS (
   SELECT doc_id, list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) AS h FROM held
 ), windows AS (
