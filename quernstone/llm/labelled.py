@@ -24,5 +24,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows:
     """
     chosen = labels.where(usable & F.col(label).isin(0, 1)).select(id_column, F.col(label).cast("int").alias("_y")).groupBy(id_column).agg(F.min("_y").alias("_y")).orderBy(F.xxhash64(id_column), id_column).limit(rows)
     each = docs.select(id_column, text_column).join(F.broadcast(chosen), id_column).groupBy(id_column, "_y").agg(F.min(text_column).alias("_text"))
-    found = each.toPandas().sort_values(id_column, kind="stable")
-    return [t or "" for t in found["_text"]], found["_y"].to_numpy(np.int64)
+    found = each.toArrow().sort_by(id_column)
+    return [t or "" for t in found["_text"].to_pylist()], found["_y"].to_numpy().astype(np.int64)

@@ -141,8 +141,10 @@ def fit(texts: list[str], labels: np.ndarray, width: int = 16, steps: int = 300,
         return AttentionModel(float(labels.mean()) if len(labels) else 1.0)
     parts = [passages(texts[at : at + 256]) for at in range(0, len(texts), 256)]
     x, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    del parts
     mean, scale = x.mean(axis=0), x.std(axis=0) + 0.02
-    x = (x - mean) / scale
+    x -= mean
+    x /= scale
     draw = np.random.default_rng(seed)
     w = {
         "encode": draw.normal(0, FEATURES**-0.5, (FEATURES, width)),

@@ -169,10 +169,12 @@ def fit(texts: list[str], labels: np.ndarray, groups: Sequence[Sequence[str]] =
     """Fit by full-batch Adam on cross entropy, ridge and the mean squared change of the logit by a swap."""
     if len(set(labels.tolist())) < 2:
         return ToxicityModel(float(labels.mean()) if len(labels) else 0.0)
-    bags = [words_of(t) for t in texts]
+    # equal words of all documents are one object
+    known: dict[bytes, bytes] = {}
+    bags = [[known.setdefault(w, w) for w in words_of(t)] for t in texts]
     terms = choose_terms(bags, labels, most_terms, least_docs, least_chi)
-    held, chosen = set().union(*bags), set(terms)
-    terms += [t for t in (term.encode() for group in groups for term in group) if t in held and t not in chosen]
+    chosen = set(terms)
+    terms += [t for t in (term.encode() for group in groups for term in group) if t in known and t not in chosen]
     model = ToxicityModel(float(labels.mean()), {t: i for i, t in enumerate(terms)}, most_repeats=most_repeats)
 
     def row(words: list[bytes]) -> np.ndarray:
@@ -185,7 +187,7 @@ def fit(texts: list[str], labels: np.ndarray, groups: Sequence[Sequence[str]] =
     x = np.zeros((len(bags), len(terms) + 1), np.float32)
     for at, words in enumerate(bags):
         x[at] = row(words)
-    del bags
+    del bags, known
     neutral = (s.format(term) for s in NEUTRAL for group in groups for term in group)
     # the penalty is a quadratic form, added up a block of swaps at a time
     change, block = np.zeros((x.shape[1], x.shape[1]), np.float32), []
