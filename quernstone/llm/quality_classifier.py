@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.labelled import FIT_ROWS, sample, split_of
+from quernstone.llm.labelled import FIT_ROWS, fitted, split_of
 
 PASSAGE_WORDS = 50
 _SYMBOLS = b"#*$%&|<>!?.,;:\"'()[]{}-_/\\@=+~^`"
@@ -186,7 +186,7 @@ def add_scores(docs: DataFrame, model: AttentionModel, column: str = "score", te
 
 def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: int = 5, rows: int = FIT_ROWS) -> AttentionModel:
     """Fit on at most ``rows`` labelled documents outside the held-out fold."""
-    return fit(*sample(docs, labels, "quality", split_of("doc_id", folds) != held_out_fold, rows))
+    return fitted(fit, docs, labels, "quality", split_of("doc_id", folds) != held_out_fold, rows)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quernstone.llm.labelled import FIT_ROWS, sample, split_of
+from quernstone.llm.labelled import FIT_ROWS, fitted, split_of
 
 #: Identity terms that may stand for each other within their group, in English, German, French and Spanish; a default only.
 #: No term is in two groups, so that none is swapped for one of another language.
@@ -229,7 +229,7 @@ def add_scores(docs: DataFrame, model: ToxicityModel, column: str = "score", tex
 
 def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int = 3, rows: int = FIT_ROWS, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS) -> ToxicityModel:
     """Fit on at most ``rows`` labelled documents outside the held-out fold."""
-    return fit(*sample(docs, labels, "toxic", split_of("doc_id", folds) != held_out_fold, rows), groups)
+    return fitted(lambda texts, y: fit(texts, y, groups), docs, labels, "toxic", split_of("doc_id", folds) != held_out_fold, rows)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS) -> DataFrame:
