@@ -1,7 +1,11 @@
-"""Connected components over a table of links, by alternating large-star and small-star steps."""
+"""Connected components over a table of links: forests by task, then alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +30,57 @@ def _small(edges: DataFrame, parts: int) -> DataFrame:
     return hung.union(least.select("a", F.col("m").alias("b"))).coalesce(parts).distinct().coalesce(parts)
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges that isn't the smallest of its component among them, with that smallest."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        lower = np.minimum(least[x], least[y])
+        hung = least.copy()
+        np.minimum.at(hung, least[x], lower)
+        np.minimum.at(hung, least[y], lower)
+        while (further := hung[hung]).tobytes() != hung.tobytes():
+            hung = further
+        if (hung == least).all():
+            break
+        least = hung
+    other = np.flatnonzero(least != np.arange(len(nodes)))
+    return nodes[other], nodes[least[other]]
+
+
+def _forest(edges: DataFrame, most: int | None) -> DataFrame:
+    """The same components with each task's edges as stars; a task holds ``most`` edges at a time, or all that it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if most is not None and sum(x.num_rows for x in held) >= most:
+                yield stars(held)
+                held = []
+        if held:
+            yield stars(held)
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _stars(a, b)], ["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame, most_steps: int = 60) -> DataFrame:
-    """(node, component) of every node of ``links`` (a, b) that isn't the smallest of its component.
+    """(node, component) of every node of ``links`` (a, b), longs, that isn't the smallest of its component.
 
-    Steps end when the edges no longer change; then they form stars. Nothing is collected but a count and a checksum.
+    Each task first turns its edges into a forest of stars, so that no more edges than nodes are left of a task's dense
+    groups. What one task holds is then settled by that task; otherwise steps follow, which end when the edges no longer
+    change and so form stars. Nothing is collected but a count and a checksum.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = cut(_forest(links.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")), EDGES_A_TASK))
     parts = 1 + edges.count() // EDGES_A_TASK
-    edges = edges.coalesce(parts)
+    if parts == 1:
+        return _forest(edges.coalesce(1), None).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    edges = cut(edges.distinct().coalesce(parts))
     before = None
     for _ in range(most_steps):
         edges = cut(_small(_large(edges, parts), parts))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.llm import labelled, language_id, mixture, quality_classifier, queries, topk, toxicity
+from quernstone.llm import components as components_module
 from quernstone.llm.components import components
 from quernstone.session import table
 
@@ -332,7 +333,9 @@ def test_top_k_small_and_empty_tables(spark):
     assert topk.top_k(spark.createDataFrame([(1, [1.0])], schema), ask).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("edges_a_task", [250_000, 16])
+def test_components_of_chains_and_stars(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr(components_module, "EDGES_A_TASK", edges_a_task)
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(0, 60)] + [(500, k) for k in range(501, 560)] + [(7, 7)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(70)]
     parent = defaultdict(lambda: None)
@@ -346,6 +349,9 @@ def test_components_of_chains_and_stars(spark):
         a, b = find(a), find(b)
         if a != b:
             parent[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    found = components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    got = {r.node: r.component for r in found}
+    assert len(got) == len(found)
     nodes = {x for pair in links for x in pair}
     assert {n: got.get(n, n) for n in nodes} == {n: find(n) for n in nodes}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
