@@ -300,12 +300,14 @@ def _elected(large: DataFrame, percent: int) -> DataFrame:
 
 
 def _faced(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Members of open cells with every elected pivot within 2 r (region, doc, n, pivot, apart), and the links found.
+    """Members of open cells with every elected pivot within 2 r (region, doc, n, size, pivot, apart), and the links found.
 
+    Pivots are written first, so that Spark knows their size and need not deal out the members by region to meet them.
     Distances are quotients of whole numbers; windows are widened by SLACK, which is less than any two can differ.
     """
     drawn = cells.where("part <> main").groupBy("region").agg(F.array_distinct(F.array(*[F.min_by("doc", _order(draw)) for draw in range(PIVOTS)])).alias("pivots"))
-    faced = written(cells.select("region", "doc", "n").join(drawn.select("region", F.explode("pivots").alias("pivot")), "region"), "faced")
+    pivots = written(drawn.select("region", F.explode("pivots").alias("pivot")), "pivots")
+    faced = written(cells.select("region", "doc", "n", "size").join(pivots, "region"), "faced")
     near = _near(faced.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), sets, 2 * percent - 100)
     measured = written(_measured(near, sets).distinct(), "distances")
     apart = measured.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("apart"))
@@ -326,10 +328,9 @@ def _divided(cells: DataFrame, placed: DataFrame, labels: DataFrame, percent: in
     inside = written(parts.withColumn("home", home).where(F.col("home") | (window & (F.col("part") != F.col("part_pivot")))), "inside")
     border = inside.where("NOT home").groupBy("region", "pivot").agg(F.min("apart").alias("border"))
     reached = inside.join(border, ["region", "pivot"]).where(~F.col("home") | (F.col("apart") >= F.col("border") - reach - SLACK))
-    outer = cells.select("region", "doc", "n").join(nearest.where(F.col("nearest") <= reach + SLACK).select("region", "doc"), ["region", "doc"], "left_anti")
-    both = reached.select("region", F.xxhash64("region", "pivot").alias("cell"), "doc", "n", "apart", "home").union(outer.select("region", F.xxhash64("region", F.lit("outer")), "doc", "n", F.lit(0.0), F.lit(True)))
-    before = cells.select("region", F.col("size").alias("whole")).distinct()
-    return both.join(before, "region").select(F.col("cell").alias("region"), "doc", "n", "apart", "home", "whole")
+    outer = cells.select("region", "doc", "n", "size").join(nearest.where(F.col("nearest") <= reach + SLACK).select("region", "doc"), ["region", "doc"], "left_anti")
+    inner = reached.select(F.xxhash64("region", "pivot").alias("region"), "doc", "n", "apart", "home", F.col("size").alias("whole"))
+    return inner.union(outer.select(F.xxhash64("region", F.lit("outer")), "doc", "n", F.lit(0.0), F.lit(True), "size"))
 
 
 def _tile_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
