@@ -20,8 +20,9 @@ Jaccard distance is a metric; documents link when it is at most r = 1 - threshol
    Only distances within 2 r count, and the counts of both sets in slices of the hash range (their distances from the
    empty set within the slices) bound a distance from below, so that few sets need to be measured exactly.
 4. Recursion. Cells that are still large and hold several components are divided again in the same way, as long as that
-   at least halves them. What is left is dealt into tiles of two blocks. A pair is measured only if its distances to the cell's pivot
-   differ by no more than r and if its slices allow a link.
+   at least halves them. A region stays whole where its cells, replicas included, would hold as many pairs as it does, as
+   in a group whose members are nearly all between r and 2 r apart. What is left is dealt into tiles of two blocks. A pair
+   is measured only if its distances to the cell's pivot differ by no more than r and if its slices allow a link.
 5. Counts. Linked documents are in one component, so every link is found inside components: the points of a component are
    dealt into blocks, every two blocks meet in one tile, and a tile measures all its pairs exactly by counting common
    shingles. It returns one number per point, weighted by copies, so that no pairs are shuffled. Only ``join_links`` does.
@@ -280,7 +281,7 @@ def _open(cells: DataFrame, labels: DataFrame) -> DataFrame:
 
     Cells get short names, as lists of them are sent about.
     """
-    labelled = _parts(cells, labels, "doc", "part")
+    labelled = written(_parts(cells, labels, "doc", "part"), "labelled")
     by_part = labelled.groupBy("region", "part").agg(F.count(F.lit(1)).alias("n_part"))
     shape = by_part.groupBy("region").agg(F.sum("n_part").alias("size"), F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("n_part", "part")).alias("main")).where("parts > 1")
     named = written(shape.withColumn("name", F.monotonically_increasing_id()), "shapes")
@@ -311,26 +312,36 @@ def _faced(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     near = _near(faced.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), sets, 2 * percent - 100)
     measured = written(_measured(near, sets).distinct(), "distances")
     apart = measured.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("apart"))
-    placed = faced.join(apart.where(F.col("apart") <= 2 * _reach(percent) + SLACK), ["doc", "pivot"])
+    placed = written(faced.join(apart.where(F.col("apart") <= 2 * _reach(percent) + SLACK), ["doc", "pivot"]), "placed")
     return placed, _linking(measured, percent).where("a <> b")
 
 
 def _divided(cells: DataFrame, placed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """The Voronoi cells of open cells, with boundary documents wherever their window reaches: (region, doc, n, apart, home, whole).
+    """The Voronoi cells of open cells, with boundary documents wherever their window reaches: (origin, region, doc, n, apart, home, whole).
 
-    ``apart`` is the distance to the cell's pivot, 0 in outer cells, which have none; ``whole`` is the size before.
+    ``apart`` is the distance to the cell's pivot, 0 in outer cells, which have none; ``origin`` is the cell before and
+    ``whole`` its size.
     """
     reach = _reach(percent)
-    nearest = placed.groupBy("region", "doc").agg(F.min("apart").alias("nearest"))
-    parts = _parts(_parts(placed.join(nearest, ["region", "doc"]), labels, "doc", "part"), labels, "pivot", "part_pivot")
+    # components are looked up once a member and once a pivot, not for each member with each pivot
+    nearest = written(_parts(placed.groupBy("region", "doc").agg(F.min("apart").alias("nearest")), labels, "doc", "part"), "nearest")
+    parts = placed.join(nearest, ["region", "doc"]).join(_parts(placed.select("pivot").distinct(), labels, "pivot", "part_pivot"), "pivot")
     home = (F.col("nearest") <= reach + SLACK) & (F.col("apart") == F.col("nearest"))
     window = (F.col("nearest") > reach + SLACK) | (F.col("apart") <= F.col("nearest") + 2 * reach + SLACK)
     inside = written(parts.withColumn("home", home).where(F.col("home") | (window & (F.col("part") != F.col("part_pivot")))), "inside")
     border = inside.where("NOT home").groupBy("region", "pivot").agg(F.min("apart").alias("border"))
     reached = inside.join(border, ["region", "pivot"]).where(~F.col("home") | (F.col("apart") >= F.col("border") - reach - SLACK))
     outer = cells.select("region", "doc", "n", "size").join(nearest.where(F.col("nearest") <= reach + SLACK).select("region", "doc"), ["region", "doc"], "left_anti")
-    inner = reached.select(F.xxhash64("region", "pivot").alias("region"), "doc", "n", "apart", "home", F.col("size").alias("whole"))
-    return inner.union(outer.select(F.xxhash64("region", F.lit("outer")), "doc", "n", F.lit(0.0), F.lit(True), "size"))
+    inner = reached.select(F.col("region").alias("origin"), F.xxhash64("region", "pivot").alias("region"), "doc", "n", "apart", "home", F.col("size").alias("whole"))
+    return inner.union(outer.select("region", F.xxhash64("region", F.lit("outer")), "doc", "n", F.lit(0.0), F.lit(True), "size"))
+
+
+def _lessened(cells: DataFrame, divided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What was divided into fewer pairs, without ``origin``, and the members of the cells that hold no more pairs whole."""
+    sizes = divided.groupBy("origin", "region", "whole").agg(F.count(F.lit(1)).alias("size"))
+    pairs = sizes.groupBy("origin", "whole").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
+    grown = written(pairs.where(F.col("pairs") >= F.col("whole") * F.col("whole")).select("origin"), "grown")
+    return divided.join(grown, "origin", "left_anti").drop("origin"), cells.join(grown.withColumnRenamed("origin", "region"), "region", "left_semi")
 
 
 def _tile_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -366,7 +377,7 @@ def _tile_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     lists = open_.where("home").groupBy("doc").agg(F.collect_list("region").alias("regions"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = open_.join(sets.select("doc", "slices"), "doc").join(lists, "doc", "left").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(2)), blocks).cast("int"))
+    members = open_.join(sets.select("doc", "slices").join(lists, "doc", "left"), "doc").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(2)), blocks).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tiles = dealt.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc", "n", "part", "apart", "home", "slices", "regions")
     return tiles.groupBy("region", "low", "high").applyInArrow(run, "a long, b long").distinct()
@@ -493,22 +504,25 @@ def _joined(docs: DataFrame, percent: int, id_column: str, text_column: str, cou
     links = cut(links.union(_linking(_measured(_near(apart.where("part_a <> part_b").select("a", "b"), sets, percent), sets), percent)))
     labels = cut(components(links))
     cells, left = large.withColumns({"apart": F.lit(0.0), "home": F.lit(True), "whole": F.lit(2**62)}), []
+    columns = cells.columns[1:]
     for level in range(LEVELS + 1):
         open_ = _open(cells, labels)
         if open_.isEmpty():
             break
         # a cell that kept more than half of its region is not divided again, as its members are all far apart
         divides = (F.col("size") > CELL) & (2 * F.col("size") <= F.col("whole")) if level < LEVELS else F.lit(False)
-        left.append(open_.where(~divides).select(F.xxhash64("region", F.lit(level)).alias("region"), *cells.columns[1:]))
+        left.append(open_.where(~divides).select(F.xxhash64("region", F.lit(level)).alias("region"), *columns))
         wide = open_.where(divides)
         if wide.isEmpty():
             break
         placed, found = _faced(wide, sets, percent)
         links = cut(links.union(found))
         labels = cut(components(links))
-        cells = written(_divided(wide, placed, labels, percent), "cells")
+        cells, same = _lessened(wide, written(_divided(wide, placed, labels, percent), "cells"))
+        left.append(same.select(F.xxhash64("region", F.lit(level)).alias("region"), *columns))
     if left:
-        still = _open(reduce(DataFrame.union, left), labels)
+        # where nothing was divided, no links were found since the regions were opened
+        still = open_ if len(left) == 1 else _open(reduce(DataFrame.union, left), labels)
         labels = cut(components(cut(links.union(_linking(_measured(_tile_pairs(still, sets, percent), sets), percent)))))
 
     grouped = points.join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("group", F.coalesce("component", "point"))

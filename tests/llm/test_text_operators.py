@@ -5,7 +5,7 @@ import json
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -117,6 +117,35 @@ def test_jaccard_join_cells_hold_every_link(spark):
     assert {tuple(sorted(r)) for r in links.collect()} <= set(linked)
 
 
+def test_jaccard_join_divides_only_where_pairs_become_fewer(spark, monkeypatch):
+    """A group whose members are nearly all between r and 2 r apart stays whole, instead of each member in each cell."""
+    for name, value in (("SMALL_REGION", 3), ("CELL", 4), ("PIVOTS", 4), ("BLOCK", 16)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    opened, tiled = [], []
+    open_, tile_pairs = jaccard_join._open, jaccard_join._tile_pairs
+    monkeypatch.setattr(jaccard_join, "_open", lambda *x: opened.append(open_(*x)) or opened[-1])
+    monkeypatch.setattr(jaccard_join, "_tile_pairs", lambda *x: tiled.append(x[0].count()) or tile_pairs(*x))
+    rng = random.Random(3)
+    base, rows = [f"v{i}" for i in range(150)], []
+    for k in range(60):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(2, 4)):
+            copy[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(copy), "s"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+    assert len(tiled) == 1 and 0 < tiled[0] <= opened[0].count()
+
+
+def test_jaccard_join_cells_that_lessen_pairs(spark):
+    # cell 1 falls into 3 and 2 of 4 members, cell 2 into 3 and 3 of 4, of cell 3 nothing is left to compare
+    members = [(1, d) for d in range(4)] + [(2, d) for d in range(4)] + [(3, d) for d in range(4)]
+    divided = [(1, 11, d, 4) for d in (0, 1, 2)] + [(1, 12, d, 4) for d in (2, 3)] + [(2, 21, d, 4) for d in (0, 1, 2)] + [(2, 22, d, 4) for d in (1, 2, 3)]
+    cells, same = jaccard_join._lessened(spark.createDataFrame(members, "region long, doc long"), spark.createDataFrame(divided, "origin long, region long, doc long, whole long"))
+    assert Counter(tuple(r) for r in cells.collect()) == Counter(r[1:] for r in divided if r[0] == 1)
+    assert sorted(tuple(r) for r in same.collect()) == [m for m in members if m[0] == 2]
+
+
 def test_jaccard_join_least_shared_weight_in_columns(spark):
     sizes = [*range(1, 300), 1000, 4095, 4096, 100_000]
     got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", jaccard_join._lowest("n", 80).alias("x")).collect()
